@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import exact_duplicates
+from .mixing import mix_report
+from .packing import pack
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,8 +21,20 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_documents(spark, sf_dir, "doc_id", "text")).drop("copies")
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_report(_documents(spark, sf_dir, "doc_id", "text", "source"))
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return pack(_documents(spark, sf_dir, "doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES: dict[str, Query] = {
     "op2_exact_dedup": op2_exact_dedup,
+    "op7_mixing": op7_mixing,
+    "op8_packing": op8_packing,
 }
 
 ORACLE: dict[str, str] = {
