@@ -96,10 +96,10 @@ def shingle_sets(hashes: np.ndarray, bounds: np.ndarray, width: int) -> list[np.
             np.not_equal(s[1:], s[:-1], out=keep[1:])
             out.append(s[keep])
         elif b > a:
-            whole = np.uint64(b - a)
+            whole = np.array([b - a], np.uint64)
             for x in hashes[a:b]:
-                whole = mix(np.array([whole * np.uint64(3) + x], np.uint64))[0]
-            out.append(np.array([whole], np.uint64))
+                whole = mix(whole * np.uint64(3) + x)
+            out.append(whole)
         else:
             out.append(np.zeros(0, np.uint64))
     return out
