@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket, buckets_of, small_batches, staged
+from .common import bucket, buckets_of, small_batches, staged, without
 from .components import components
 from .packing import chunks, raw_texts
 from .wordhash import joined, mix, per_text, shingle_sets, words
@@ -311,3 +311,11 @@ def jaccard_join(docs: DataFrame, width: int = 3, percent: int = 90, block_rows:
     told = classes.join(member, "node", "left").select("d1", "d2", "n", F.coalesce("lowest", "low").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     out = table.select("doc_id", "n", "d1", "d2").join(told, ["d1", "d2", "n"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """docs with one document of each group of linked ones: the one that the group is named after.
+
+    Documents without words stay, as do rows with a null id; of rows that repeat an id and are copies, all stay or go."""
+    found = staged(jaccard_join(docs, width, percent), "near")
+    return without(docs, found.filter("doc_id <> component_id"), "doc_id")

@@ -10,6 +10,7 @@ from .exact_dedup import exact_duplicates
 from .ngram_jaccard import jaccard_join
 from .mixing import mix_report
 from .packing import pack
+from .quality import quality_scores
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -36,11 +37,16 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_documents(spark, sf_dir, "doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(_documents(spark, sf_dir, "doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_exact_dedup": op2_exact_dedup,
     "op7_mixing": op7_mixing,
     "op8_packing": op8_packing,
+    "op9_quality": op9_quality,
 }
 
 ORACLE: dict[str, str] = {
