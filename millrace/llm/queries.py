@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import exact_duplicates
-from .ngram_jaccard import jaccard_join
+from .language_id import identify
+from .license_scan import scan
+from .media_columns import text_media
 from .mixing import mix_report
+from .ngram_jaccard import jaccard_join
 from .packing import pack
 from .quality import quality_scores
 
@@ -27,6 +30,14 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_documents(spark, sf_dir, "doc_id", "text")).drop("copies")
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(_documents(spark, sf_dir, "doc_id", "text", "lang"))
+
+
+def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_media(_documents(spark, sf_dir, "doc_id", "text"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_report(_documents(spark, sf_dir, "doc_id", "text", "source"))
 
@@ -41,12 +52,19 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(_documents(spark, sf_dir, "doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(_documents(spark, sf_dir, "doc_id", "text"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_exact_dedup": op2_exact_dedup,
+    "op4_language_id": op4_language_id,
+    "op6_media_columns": op6_media_columns,
     "op7_mixing": op7_mixing,
     "op8_packing": op8_packing,
     "op9_quality": op9_quality,
+    "op10_license_scan": op10_license_scan,
 }
 
 ORACLE: dict[str, str] = {
