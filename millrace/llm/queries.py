@@ -10,6 +10,7 @@ from .exact_dedup import exact_duplicates
 from .gru_lm import score
 from .language_id import identify
 from .license_scan import scan
+from .line_dedup import dedup_report
 from .media_columns import text_media
 from .mixing import mix_report
 from .ngram_jaccard import jaccard_join
@@ -39,6 +40,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(_documents(spark, sf_dir, "doc_id", "text", "lang"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_report(_documents(spark, sf_dir, "doc_id", "text"))
+
+
 def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_media(_documents(spark, sf_dir, "doc_id", "text"))
 
@@ -66,6 +71,7 @@ QUERIES: dict[str, Query] = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_lm_scoring": op3_lm_scoring,
     "op4_language_id": op4_language_id,
+    "op5_line_dedup": op5_line_dedup,
     "op6_media_columns": op6_media_columns,
     "op7_mixing": op7_mixing,
     "op8_packing": op8_packing,
