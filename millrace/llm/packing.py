@@ -19,37 +19,93 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bucket, buckets_of, small_batches, staged
-from .wordhash import EXACT, joined, per_text, words
+from .wordhash import LOWER, joined, per_text, words
 
 WINDOW, END = 4096, 2
-CHUNK = 8 << 20
+CHUNK = 4 << 20
 _LOADED: dict = {}
 
 
-def token_ids(texts: list[bytes], tokenizer: str) -> Iterator[np.ndarray]:
-    """The ids of each text and END. White space separates tokens, so each distinct word is encoded once a chunk."""
-    if tokenizer not in _LOADED:
+#: Letters (1) and punctuation (2) of ASCII between which the tokenizer's pattern always splits; the apostrophe isn't
+#: among them as it starts contractions, nor are the characters of special tokens.
+KINDS = np.zeros(256, np.uint8)
+KINDS[[*range(65, 91), *range(97, 123)]] = 1
+KINDS[[b for b in b"!\"#$%&()*+,-./:;=?@[\\]^_`{}~"]] = 2
+SENTINEL = "\x01"
+
+
+class _Coder:
+    """Ids of words by their hash, with a bounded memory of those already seen by this process."""
+
+    REMEMBER = 400_000
+
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _LOADED[tokenizer] = Tokenizer.from_file(tokenizer)
+        self.tokenizer = Tokenizer.from_file(path)
+        self.sentinel = self.tokenizer.encode(SENTINEL, add_special_tokens=False).ids
+        self.hashes, self.begins, self.sizes, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def encode(self, distinct: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids of the words, and their numbers. Words go through the tokenizer by the hundred, a sentinel between."""
+        one = self.tokenizer.encode_batch_fast
+        groups = [distinct[i : i + 500] for i in range(0, len(distinct), 500)]
+        flat, sizes = [], []
+        coded = one([f" {SENTINEL} ".join(g) for g in groups], add_special_tokens=False)
+        for g, e in zip(groups, coded):
+            ids = np.array(e.ids, np.uint32)
+            cuts = np.flatnonzero(ids == self.sentinel[0]) if len(self.sentinel) == 1 else np.zeros(0, np.int64)
+            if len(cuts) != len(g) - 1:  # a word holds the sentinel itself
+                alone = [x.ids for x in one(g, add_special_tokens=False)]
+                sizes.append(np.array([len(x) for x in alone], np.int64))
+                flat.append(np.array([i for x in alone for i in x], np.uint32))
+                continue
+            sizes.append(np.diff(np.concatenate([[-1], cuts, [len(ids)]])) - 1)
+            flat.append(np.delete(ids, cuts))
+        return (np.concatenate(flat), np.concatenate(sizes)) if flat else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+
+    def look_up(self, hashes: np.ndarray, text) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where in the third array each of the distinct words has its ids, and how many. text: the words at positions."""
+        order = np.argsort(hashes)
+        at = np.searchsorted(self.hashes, hashes[order])
+        known = np.zeros(len(hashes), bool)
+        known[order] = (at < len(self.hashes)) & (self.hashes[np.minimum(at, max(0, len(self.hashes) - 1))] == hashes[order]) if len(self.hashes) else False
+        begins, sizes = np.zeros(len(hashes), np.int64), np.zeros(len(hashes), np.int64)
+        slot = np.empty(len(hashes), np.int64)
+        slot[order] = at
+        begins[known], sizes[known] = self.begins[slot[known]], self.sizes[slot[known]]
+        new = np.flatnonzero(~known)
+        flat, n = self.encode(text(new))
+        sizes[new], begins[new] = n, len(self.flat) + np.cumsum(n) - n
+        every = np.concatenate([self.flat, flat])
+        if len(self.hashes) < self.REMEMBER and len(new):
+            merged = np.concatenate([self.hashes, hashes[new]])
+            by = np.argsort(merged, kind="stable")
+            self.hashes, self.begins, self.sizes = merged[by], np.concatenate([self.begins, begins[new]])[by], np.concatenate([self.sizes, n])[by]
+            self.flat = every
+        return begins, sizes, every
+
+
+def token_ids(texts: list[bytes], tokenizer: str) -> Iterator[np.ndarray]:
+    """The ids of each text and END. White space separates tokens, and case doesn't matter to this kind of tokenizer,
+    so each distinct word is encoded once."""
+    if tokenizer not in _LOADED:
+        _LOADED[tokenizer] = _Coder(tokenizer)
     buf, offsets = joined(texts)
-    starts, ends, hashes = words(buf, EXACT)
+    starts, ends, hashes = words(buf, LOWER, KINDS)
     bounds = per_text(starts, offsets)
-    _, first, back = np.unique(hashes, return_index=True, return_inverse=True)
+    back, distinct = pd.factorize(hashes)
+    first = np.empty(len(distinct), np.int64)
+    first[back[::-1]] = np.arange(len(back))[::-1]
     raw = buf.tobytes()
-    distinct = [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[first].tolist(), ends[first].tolist())]
-    coded = []
-    for i in range(0, len(distinct), 20_000):
-        coded += [e.ids for e in _LOADED[tokenizer].encode_batch_fast(distinct[i : i + 20_000], add_special_tokens=False)]
-    sizes = np.array([len(x) for x in coded], np.int64)
-    flat = np.array([i for x in coded for i in x], np.uint32)
-    begins = np.cumsum(sizes) - sizes
+    begins, sizes, flat = _LOADED[tokenizer].look_up(distinct, lambda at: [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[first[at]].tolist(), ends[first[at]].tolist())])
     per_word = sizes[back]
     upto = np.concatenate([[0], np.cumsum(per_word)])
     ids = flat[np.repeat(begins[back] - upto[:-1], per_word) + np.arange(upto[-1])] if len(flat) else flat
@@ -58,17 +114,29 @@ def token_ids(texts: list[bytes], tokenizer: str) -> Iterator[np.ndarray]:
         yield np.append(ids[a:b], np.uint32(END)).astype("<u4")
 
 
-def chunks(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.Table]:
-    """Batches joined until their texts reach CHUNK bytes."""
-    held, size = [], 0
+def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = CHUNK) -> Iterator[pa.Table]:
+    """Batches joined until their texts reach a size; what a chunk has freed goes back to the system."""
+    held, n = [], 0
     for b in batches:
         held.append(b)
-        size += b.column(column).nbytes
-        if size >= CHUNK:
-            yield pa.Table.from_batches(held)
-            held, size = [], 0
+        n += b.column(column).nbytes
+        if n >= size:
+            t, held, n = pa.Table.from_batches(held), [], 0
+            yield t
+            del t
+            _trim()
     if held:
         yield pa.Table.from_batches(held)
+        _trim()
+
+
+def _trim() -> None:
+    """Executors count the memory that malloc keeps; only glibc has this call."""
+    import ctypes
+
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def raw_texts(t: pa.Table, column: str = "text") -> list[bytes]:

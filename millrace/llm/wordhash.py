@@ -37,10 +37,16 @@ def joined(texts: Sequence[str | bytes | None]) -> tuple[np.ndarray, np.ndarray]
     return np.frombuffer(b" ".join(raw) + b" ", np.uint8) if raw else np.zeros(0, np.uint8), offsets
 
 
-def _slice_words(buf: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _slice_words(buf: np.ndarray, table: np.ndarray, kinds: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     inside = ~SPACES[buf]
     edge = np.diff(inside.view(np.int8), prepend=np.int8(0), append=np.int8(0))
-    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    first, last = edge == 1, edge == -1
+    if kinds is not None:  # a word also ends between bytes of kinds 1 and 2
+        kind = kinds[buf]
+        cut = kind[1:] + kind[:-1] == 3
+        first[1:-1] |= cut
+        last[1:-1] |= cut
+    starts, ends = np.flatnonzero(first), np.flatnonzero(last)
     if not len(starts):
         return starts, ends, np.zeros(0, np.uint64)
     longest = int((ends - starts).max())
@@ -54,8 +60,9 @@ def _slice_words(buf: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.nda
     return starts, ends, mix(h + (ends - starts).astype(np.uint64) * _ODD)
 
 
-def words(buf: np.ndarray, table: np.ndarray = LOWER) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and hashes of the words in the buffer, in order; works slice by slice to bound memory."""
+def words(buf: np.ndarray, table: np.ndarray = LOWER, kinds: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and hashes of the words in the buffer, in order; works slice by slice to bound memory. kinds: of
+    each byte; words are also cut between neighbours of kinds 1 and 2 (all other bytes: 0 or 3 and more)."""
     found, a = [], 0
     while a < len(buf):
         b = min(len(buf), a + SLICE)
@@ -66,7 +73,7 @@ def words(buf: np.ndarray, table: np.ndarray = LOWER) -> tuple[np.ndarray, np.nd
                 break
             b += 4096
         b = min(b, len(buf))
-        s, e, h = _slice_words(buf[a:b], table)
+        s, e, h = _slice_words(buf[a:b], table, kinds)
         found.append((s + a, e + a, h))
         a = b
     if not found:
