@@ -19,7 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, buckets_of, bucket, staged, without
+from .common import SPACE, boxed, bucket, buckets_of, staged, unboxed, without
+from .exchange import owners_of, repeated, with_replies
 
 BLOCK_ROWS = 8192
 BLOCKS = "block string, n int, doc_ids binary, no_id binary, prints binary, shas binary"
@@ -34,31 +35,6 @@ def fingerprint(text, bits: int):
     return F.shiftrightunsigned(F.xxhash64(text), 64 - bits)
 
 
-def rice(values: np.ndarray) -> bytes:
-    """Sorted distinct integers as Golomb-Rice codes of their gaps: count, shift, unary quotients, remainders."""
-    n = len(values)
-    gaps = np.diff(values, prepend=np.uint64(0))
-    k = max(0, int(np.log2(max(1.0, 0.69 * float(values[-1]) / n)))) if n else 0
-    high = (gaps >> np.uint64(k)).astype(np.int64)
-    unary = np.zeros(int(high.sum()) + n, np.uint8)
-    unary[np.cumsum(high + 1) - 1] = 1
-    low = np.zeros((n, k), np.uint8)
-    for b in range(k):
-        low[:, k - 1 - b] = (gaps >> np.uint64(b)) & np.uint64(1)
-    return np.array([n, k, len(unary)], "<u4").tobytes() + np.packbits(unary).tobytes() + np.packbits(low).tobytes()
-
-
-def unrice(blob: bytes) -> np.ndarray:
-    n, k, m = (int(x) for x in np.frombuffer(blob[:12], "<u4"))
-    cut = 12 + (m + 7) // 8
-    ends = np.flatnonzero(np.unpackbits(np.frombuffer(blob[12:cut], np.uint8), count=m))
-    gaps = (np.diff(ends, prepend=-1) - 1).astype(np.uint64) << np.uint64(k)
-    low = np.unpackbits(np.frombuffer(blob[cut:], np.uint8), count=n * k).reshape(n, k)
-    for b in range(k):
-        gaps += low[:, k - 1 - b].astype(np.uint64) << np.uint64(b)
-    return np.cumsum(gaps, dtype=np.uint64)
-
-
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
@@ -81,49 +57,16 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield block()
 
 
-def _send(bits: int, owners: int):
-    """Each block's distinct sorted fingerprints, cut at the owners' ranges."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for block, prints in zip(b["block"].to_pylist(), b["prints"].to_pylist()):
-                v = np.unique(np.frombuffer(prints, "<u8"))
-                owner = ((v * np.uint64(owners)) >> np.uint64(bits)) if bits <= 48 else v % np.uint64(owners)
-                who, first = np.unique(owner, return_index=True)
-                parts = [rice(x) for x in np.split(v, first[1:])]
-                yield pa.RecordBatch.from_pydict({"owner": pa.array(who.astype(np.int32)), "block": [block] * len(who), "codes": parts})
-
-    return run
-
-
-def _own(t: pa.Table) -> pa.Table:
-    """Which fingerprints of each message came from more than one block."""
-    blocks = t["block"].to_pylist()
-    lists = [unrice(x) for x in t["codes"].to_pylist()]
-    every = np.concatenate(lists)
-    found, back, count = np.unique(every, return_inverse=True, return_counts=True)
-    flags = np.split((count > 1)[back], np.cumsum([len(x) for x in lists])[:-1])
-    return pa.table({"owner": t["owner"], "block": blocks, "bitmap": [np.packbits(x).tobytes() for x in flags]})
-
-
 def _mark(bits: int, owners: int):
     """Rows of each block, suspect where an owner or the block itself has the fingerprint twice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in b.to_pylist():
-                prints = np.frombuffer(r["prints"], "<u8")
-                v, back, count = np.unique(prints, return_inverse=True, return_counts=True)
-                owner = ((v * np.uint64(owners)) >> np.uint64(bits)) if bits <= 48 else v % np.uint64(owners)
-                twice = count > 1
-                maps = {x["owner"]: x["bitmap"] for x in r["replies"]}
-                for who in np.unique(owner):
-                    at = np.flatnonzero(owner == who)
-                    twice[at] |= np.unpackbits(np.frombuffer(maps[int(who)], np.uint8), count=len(at)).astype(bool)
-                n = r["n"]
+                prints, n = np.frombuffer(r["prints"], "<u8"), r["n"]
                 ids = pa.array(np.frombuffer(r["doc_ids"], "<i8"), pa.int64(), mask=np.frombuffer(r["no_id"], np.uint8).astype(bool))
                 sha = [r["shas"][i : i + 32].hex() for i in range(0, 32 * n, 32)]
-                yield pa.RecordBatch.from_pydict({"doc_id": ids, "row": [f"{r['block']}-{i}" for i in range(n)], "fp": pa.array(prints.astype(np.int64)), "text_sha256": sha, "suspect": pa.array(twice[back])})
+                yield pa.RecordBatch.from_pydict({"doc_id": ids, "row": [f"{r['block']}-{i}" for i in range(n)], "fp": pa.array(prints.astype(np.int64)), "text_sha256": sha, "suspect": pa.array(repeated(prints, r["replies"], owners, bits))})
 
     return run
 
@@ -135,15 +78,11 @@ def exact_duplicates(docs: DataFrame, bits: int = 48) -> DataFrame:
     """
     if not 1 <= bits <= 48:
         raise ValueError("bits must be 1 to 48")
-    spark = docs.sparkSession
-    owners = min(4096, max(2, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), normalised(F.col("text")).alias("text"))
     prints = text.select("doc_id", fingerprint(F.col("text"), bits).alias("fp"), F.unhex(F.sha2(F.col("text"), 256)).alias("sha"))
     blocks = staged(prints.mapInArrow(_pack, BLOCKS), "blocks")
-    sent = blocks.select("block", "prints").mapInArrow(_send(bits, owners), "owner int, block string, codes binary")
-    replies = sent.groupBy("owner").applyInArrow(_own, "owner int, block string, bitmap binary")
-    per_block = replies.groupBy("block").agg(F.collect_list(F.struct("owner", "bitmap")).alias("replies"))
-    marked = staged(blocks.join(per_block, "block").mapInArrow(_mark(bits, owners), "doc_id long, row string, fp long, text_sha256 string, suspect boolean"), "rows")
+    owners = owners_of(blocks)
+    marked = staged(with_replies(blocks, owners, bits).mapInArrow(_mark(bits, owners), "doc_id long, row string, fp long, text_sha256 string, suspect boolean"), "rows")
     suspects = marked.filter("suspect")
     # the scan passes suspects' buckets only; equal fingerprints, digests and bytes make a class
     wanted = text.withColumn("fp", fingerprint(F.col("text"), bits)).withColumn("_bucket", bucket(F.col("fp"))).join(buckets_of(suspects, "fp"), "_bucket", "left_semi")
@@ -178,8 +117,10 @@ def drop_duplicates(docs: DataFrame, bits: int = 48) -> DataFrame:
     shared = dropped.filter(F.col("doc_id").isNull() | F.col("doc_id").eqNullSafe(F.col("keep_id"))).select("doc_id").distinct()
     plain = dropped.filter(F.col("doc_id").isNotNull()).select("doc_id").distinct()
     stay = without(docs, plain, "doc_id").filter(F.col("doc_id").isNotNull())
-    mixed = docs.filter(F.col("doc_id").isNull()).unionByName(docs.join(shared.filter("doc_id is not null"), "doc_id", "left_semi"))
-    kept = found.filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
-    mixed = mixed.withColumn("_sha", F.sha2(normalised(F.col("text")), 256)).dropDuplicates(["doc_id", "_sha"])
-    again = mixed.join(kept, mixed["doc_id"].eqNullSafe(kept["_id"]) & (mixed["_sha"] == kept["_sha"]), "left_semi").drop("_sha")
-    return stay.unionByName(again.select(docs.columns)).select(docs.columns)
+    key, sha = F.col("doc_id").cast("long"), F.sha2(normalised(F.col("text")), 256)
+    mixed = boxed(docs, _key=key, _sha=sha)
+    ids = shared.filter("doc_id is not null").select(F.col("doc_id").alias("_key"))
+    mixed = mixed.filter("_key is null").unionByName(mixed.join(ids, "_key", "left_semi").select("_row", "_key", "_sha")).dropDuplicates(["_key", "_sha"])
+    kept = found.filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_kept")).distinct()
+    again = mixed.join(kept, mixed["_key"].eqNullSafe(kept["_id"]) & (mixed["_sha"] == kept["_kept"]), "left_semi")
+    return stay.unionByName(unboxed(again, docs.columns))

@@ -3,10 +3,14 @@
 A document is its set of word shingles, hashed to 64 bits. The exact join runs in four steps:
 
 1. Equal sets are one class, so copies are never paired.
-2. Distribution. Sets within the threshold differ in at most d shingles, so of d + 1 groups of shingles (dealt by hash,
-   their number fixed by a band of sizes) at least one is the same in both. Classes that share a whole group are in one
-   candidate component; a passage that many documents share doesn't make their groups equal.
-3. Inside a component (large ones are cut into blocks, and pairs of blocks are tasks) an R-tree holds each set's counts
+2. Distribution. Let q(n) = n - ceil(t n) be the shingles that a set may have and a linked one not. In any common
+   order, the first q + l shingles of two linked sets share l at least. The order puts shingles that many sets hold
+   last, by a sketch of counts of fixed size. Which fingerprints of these prefixes occur again is told by a
+   Golomb-coded exchange; a set with fewer such than l has no link and drops out, so a passage that many documents
+   share doesn't bring them together. What is left is counted exactly, and of c fingerprints the c - l + 1 rarest
+   still hold a common one; sets that share one of these are in one candidate component.
+3. Inside a component (large ones are cut by bands of sizes, of which only neighbours can link, and bands into blocks;
+   pairs of blocks are tasks) an R-tree holds each set's counts
    by hash group as a point. The summed minima of two boxes' upper corners, and then of two points, bound the overlap;
    pairs that survive are verified on the sets. Tasks return spanning edges and link counts, never all pairs.
 4. Components of the verified links.
@@ -18,47 +22,40 @@ reaches, null if there is none; an empty table gives an empty result; other colu
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bucket, buckets_of, small_batches, staged, without
 from .components import components
+from .exchange import BITS, owners_of, repeated, with_replies
 from .packing import chunks, raw_texts
 from .wordhash import joined, mix, per_text, shingle_sets, words
 
 DIMENSIONS, LEAF = 64, 32
 BLOCK_ROWS, BLOCK_SHINGLES = 2048, 3_000_000
-RATIO = 1.35
-
-
-def bands(limit: int = 1 << 40) -> np.ndarray:
-    """First sizes of the bands of set sizes, each up to RATIO as large as the one before."""
-    out = [1]
-    while out[-1] < limit:
-        out.append(max(out[-1] + 1, int(out[-1] * RATIO)))
-    return np.array(out, np.int64)
-
-
-def group_signatures(s: np.ndarray, percent: int, first: np.ndarray) -> np.ndarray:
-    """Signatures of the groups of a set, for its own band and for the bands of larger sets that it may link to."""
-    n, out = len(s), []
-    lowest = int(np.searchsorted(first, n, "right")) - 1
-    for k in range(lowest, len(first) - 1):
-        if k > lowest and first[k] > n * 100 // percent:
-            break
-        groups = int(2 * (first[k + 1] - 1) * (100 - percent) // (100 + percent)) + 1
-        if groups < 2:
-            continue  # only equal sets link here, and they are one class
-        h = mix(s + np.uint64((k + 1) * 0xA24BAED4963EE407 % (1 << 64)))
-        at = ((h >> np.uint64(32)) * np.uint64(groups)) >> np.uint64(32)
-        sums = np.zeros(groups, np.uint64)
-        np.add.at(sums, at.astype(np.int64), mix(h))
-        out.append(mix(sums + mix(np.arange(groups, dtype=np.uint64) * np.uint64(256) + np.uint64(k + 1))))
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+SKETCH_BITS, SLICES = 21, 64
+
+
+def slack(n: int, percent: int) -> int:
+    """How many shingles of a set of n a linked set may lack."""
+    return n - -(-n * percent // 100)
+
+
+def shared_least(n: int, percent: int) -> int:
+    """How many shingles beyond the slack are in a prefix."""
+    return max(1, slack(n, percent))
+
+
+def prefix(s: np.ndarray, percent: int, levels: np.ndarray) -> np.ndarray:
+    """The shingles of a set that come first by level of their count, then by hash."""
+    keep = slack(len(s), percent) + shared_least(len(s), percent)
+    key = (levels[s >> np.uint64(64 - SKETCH_BITS)] << np.uint64(58)) | (s >> np.uint64(6))
+    return s if keep >= len(s) else s[np.argpartition(key, keep - 1)[:keep]]
 
 
 def _sets(texts: list[bytes], width: int) -> list[np.ndarray]:
@@ -71,33 +68,84 @@ def _digest(s: np.ndarray) -> tuple[int, int]:
     return int(mix(s).sum(dtype=np.uint64).astype(np.int64)), int(mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).astype(np.int64))
 
 
-def _prepare(width: int, percent: int):
-    schema = "doc_id long, th long, uid long, n long, d1 long, d2 long, groups array<long>"
+def _distinct(sets: list[np.ndarray]) -> tuple[list[tuple[int, int]], list[int]]:
+    """Digests of the sets, and the positions of the first of each kind: one of a chunk's copies speaks for all."""
+    digests = [_digest(s) if len(s) else (0, 0) for s in sets]
+    first = {d: i for i, d in reversed(list(enumerate(digests))) if len(sets[i])}
+    return digests, sorted(first.values())
+
+
+def _describe(width: int):
+    """A row for each document, and after them slices of the partition's sketch of shingle counts."""
+    schema = "doc_id long, th long, uid long, n long, d1 long, d2 long, slice int, counts binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        uid, first = TaskContext.get().partitionId() << 33, bands()
+        uid, sketch = TaskContext.get().partitionId() << 33, np.zeros(1 << SKETCH_BITS, np.int64)
+        names = ["doc_id", "th", "uid", "n", "d1", "d2", "slice", "counts"]
         for t in chunks(batches):
-            sets, seen, digests, groups = _sets(raw_texts(t), width), set(), [], []
-            for s in sets:
-                d = _digest(s) if len(s) else (0, 0)
-                # one of a chunk's copies speaks for all
-                groups.append(group_signatures(s, percent, first).astype(np.int64) if len(s) and d not in seen else None)
-                seen.add(d)
-                digests.append(d)
-            sizes = np.array([len(s) for s in sets], np.int64)
-            flat = [g for g in groups if g is not None]
-            offsets = np.concatenate([[0], np.cumsum([0 if g is None else len(g) for g in groups])]).astype(np.int32)
-            yield pa.RecordBatch.from_pydict({
-                "doc_id": t["doc_id"].combine_chunks(), "th": t["th"].combine_chunks(), "uid": pa.array(uid + np.arange(len(sets))), "n": pa.array(sizes), "d1": pa.array([d[0] for d in digests], pa.int64()),
-                "d2": pa.array([d[1] for d in digests], pa.int64()), "groups": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int64))),
-            })
-            uid += len(sets)
+            sets = _sets(raw_texts(t), width)
+            digests, first = _distinct(sets)
+            if first:
+                cells = np.concatenate([sets[k] for k in first]) >> np.uint64(64 - SKETCH_BITS)
+                sketch += np.bincount(cells.astype(np.int64), minlength=len(sketch))
+            n = len(sets)
+            rows = [t["doc_id"].combine_chunks(), t["th"].combine_chunks(), pa.array(uid + np.arange(n)), pa.array([len(s) for s in sets], pa.int64()), pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64())]
+            yield pa.RecordBatch.from_arrays([*rows, pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
+            uid += n
+        if sketch.any():
+            parts = [zlib.compress(x.astype("<u4").tobytes(), 1) for x in np.split(sketch, SLICES)]
+            yield pa.RecordBatch.from_arrays([*[pa.nulls(SLICES, pa.int64())] * 6, pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())], names=names)
 
     return run, schema
 
 
+def _add_slices(t: pa.Table) -> pa.Table:
+    total = sum(np.frombuffer(zlib.decompress(x.as_py()), "<u4").astype(np.float64) for x in t["counts"])
+    return pa.table({"slice": t["slice"][:1], "levels": [np.floor(np.log2(total + 1)).astype(np.uint8).tobytes()]})
+
+
+def _prefixes(width: int, percent: int, levels):
+    """Blocks of the prefixes of a chunk's distinct sets: fingerprints, and of which set each run is."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, at, level = TaskContext.get().partitionId(), 0, levels.value
+        for t in chunks(batches):
+            sets = _sets(raw_texts(t), width)
+            digests, first = _distinct(sets)
+            found = [prefix(sets[i], percent, level) for i in first]
+            if found:
+                prints = np.concatenate(found) >> np.uint64(64 - BITS)
+                yield pa.RecordBatch.from_pydict({
+                    "block": pa.array([f"{part}-{at}"]), "prints": pa.array([prints.astype("<u8").tobytes()]),
+                    "sets": pa.array([np.array([digests[i][0] for i in first], "<i8").tobytes()]), "sizes": pa.array([np.array([len(x) for x in found], "<i8").tobytes()]),
+                    # a linked set may be smaller, and share as many as that one's prefix promises
+                    "least": pa.array([np.array([shared_least(-(-len(sets[i]) * percent // 100), percent) for i in first], "<i8").tobytes()]),
+                })
+                at += 1
+
+    return run, "block string, prints binary, sets binary, sizes binary, least binary"
+
+
+def _shared(owners: int):
+    """Fingerprints that occur again, with their sets, if a set has enough of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in b.to_pylist():
+                prints = np.frombuffer(r["prints"], "<u8")
+                hit = repeated(prints, r["replies"], owners)
+                ids, sizes, least = (np.frombuffer(r[c], "<i8") for c in ("sets", "sizes", "least"))
+                of = np.repeat(np.arange(len(ids)), sizes)
+                hit &= (np.bincount(of, hit, len(ids)) >= least)[of]
+                yield pa.RecordBatch.from_pydict({"g": pa.array(prints[hit].astype(np.int64)), "d1": pa.array(ids[of[hit]]), "least": pa.array(least[of[hit]])})
+
+    return run
+
+
 def _with_sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in chunks(batches):
@@ -243,11 +291,13 @@ def _join(percent: int):
                 continue
             sets = [np.frombuffer(raw[int(i)].as_py(), np.uint64) for i in rows]
             sides = side[rows]
-            if sides.min() == sides.max():
+            if sides[0] == 2:  # all pairs of the rows; else of those of side 0 with those of side 1
                 pairs = linked(sets, None, percent)
                 left = right = np.arange(len(rows))
             else:
                 left, right = np.flatnonzero(sides == 0), np.flatnonzero(sides == 1)
+                if not len(left) or not len(right):
+                    continue
                 pairs = linked([sets[i] for i in left], [sets[i] for i in right], percent)
             forest, links = Forest(len(rows)), np.zeros(len(rows), np.int64)
             for x, y in pairs:
@@ -267,40 +317,74 @@ def _join(percent: int):
     return run, schema
 
 
+def many_of(block_rows: int):
+    return F.ceil(F.greatest(F.count(F.lit(1)) / block_rows, F.sum("n") / BLOCK_SHINGLES)).cast("int")
+
+
+def _tasks(tasks: int):
+    """Where a set goes: one bucket of small components, or for a large component the pairs of its block with the
+    blocks of its band, of the band above (it is the lower side) and of the band below (it is the upper side)."""
+    own = F.pmod(F.xxhash64("node"), F.coalesce("blocks", F.lit(1))).cast("int")
+
+    def to(group, side):
+        return F.struct(group.alias("key"), group.alias("group"), side.cast("int").alias("side"))
+
+    upto = lambda c: F.slice(F.sequence(F.lit(0), F.coalesce(F.col(c), F.lit(0))), 1, F.coalesce(F.col(c), F.lit(0)))
+    inside = F.transform(upto("blocks"), lambda j: to(F.xxhash64("comp", "band", F.lit(0), F.least(own, j), F.greatest(own, j)), F.when(own == j, 2).otherwise((own > j).cast("int"))))
+    above = F.transform(upto("up"), lambda j: to(F.xxhash64("comp", "band", F.lit(1), own, j), F.lit(0)))
+    below = F.transform(upto("down"), lambda j: to(F.xxhash64("comp", F.col("band") - 1, F.lit(1), j, own), F.lit(1)))
+    small = F.array(F.struct(F.pmod(F.xxhash64("comp"), F.lit(tasks)).alias("key"), F.col("comp").alias("group"), F.lit(2).alias("side")))
+    return F.when(F.col("large"), F.concat(inside, above, below)).otherwise(small)
+
+
 def jaccard_join(docs: DataFrame, width: int = 3, percent: int = 90, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id, n_links (documents at percent / 100 similarity or more)."""
     spark = docs.sparkSession
     small_batches(spark)
     text = F.coalesce(F.col("text"), F.lit(""))
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
-    run, schema = _prepare(width, percent)
-    table = staged(source.mapInArrow(run, schema), "sets")
+    run, schema = _describe(width)
+    both = staged(source.mapInArrow(run, schema), "sets")
+    table = both.filter("slice is null").drop("slice", "counts")
+    slices = both.filter("slice is not null").select("slice", "counts").groupBy("slice").applyInArrow(_add_slices, "slice int, levels binary").collect()
+    levels = np.zeros(1 << SKETCH_BITS, np.uint64)
+    for r in slices:  # 2 ^ SKETCH_BITS bytes in all, however large the input
+        levels[r["slice"] << (SKETCH_BITS - SLICES.bit_length() + 1) : (r["slice"] + 1) << (SKETCH_BITS - SLICES.bit_length() + 1)] = np.frombuffer(r["levels"], np.uint8)
     classes = staged(
         table.filter("n > 0").groupBy("d1", "d2", "n").agg(F.min("uid").alias("node"), F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "th")).alias("first")),
         "classes",
     )
-    # classes that share a group of shingles, by way of the group's smallest class
-    grouped = table.select("d1", F.explode("groups").alias("g"))
+    # classes that share a shingle of their prefixes, by way of the shingle's smallest class
+    run, schema = _prefixes(width, percent, spark.sparkContext.broadcast(levels))
+    blocks = staged(source.select("text").mapInArrow(run, schema), "prefixes")
+    owners = owners_of(blocks)
+    found = staged(with_replies(blocks, owners).mapInArrow(_shared(owners), "g long, d1 long, least long").distinct(), "shared")
+    # of the c fingerprints that a set has left, the c - least + 1 rarest hold one of each linked set's
+    rarity = found.groupBy("g").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    left = found.join(rarity, "g").withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("d1"))).withColumn("rank", F.row_number().over(Window.partitionBy("d1").orderBy("df", "g")))
+    grouped = left.filter(F.col("rank") <= F.col("c") - F.col("least") + 1).select("g", "d1")
     shared = grouped.groupBy("g").agg(F.min("d1").alias("low"), F.max("d1").alias("high")).filter("low <> high")
     near = components(grouped.join(shared.select("g", "low"), "g").filter("d1 <> low").select(F.col("d1").alias("a"), F.col("low").alias("b")))
     found = staged(classes.join(near.select(F.col("node").alias("d1"), F.col("root").alias("comp")), "d1"), "candidates")
-    sizes = found.groupBy("comp").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("weight"))
-    blocks = sizes.select("comp", F.ceil(F.greatest(F.col("rows") / block_rows, F.col("weight") / BLOCK_SHINGLES)).cast("int").alias("blocks"), "rows").filter("rows > 1")
+    sizes = found.groupBy("comp").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("weight")).filter("rows > 1")
     total = found.agg(F.sum("n")).first()[0] or 0
     tasks = max(1, total // BLOCK_SHINGLES, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    found = found.join(blocks.drop("rows"), "comp").select("node", "comp", "copies", "blocks", F.col("first.doc_id").alias("doc_id"), F.col("first.th").alias("th"))
-    # texts of candidates only, by a pre-filter of bounded size and then exactly
+    many = lambda r, w: F.ceil(F.greatest(F.col(r) / block_rows, F.col(w) / BLOCK_SHINGLES)).cast("int")
+    found = found.join(sizes.select("comp", (many("rows", "weight") > 1).alias("large")), "comp")
+    # sets of linked sizes are in the same band or in neighbours: a band is as wide as the threshold allows
+    band = F.floor(F.log("n") / (F.log(F.lit(100.0 / percent)) * 1.000001)).cast("int")
+    found = found.select("node", "comp", "copies", "large", "n", band.alias("band"), F.col("first.doc_id").alias("doc_id"), F.col("first.th").alias("th"))
+    bands = found.filter("large").groupBy("comp", "band").agg(many_of(block_rows).alias("blocks"))
+    near_by = bands.select("comp", (F.col("band") - 1).alias("band"), F.col("blocks").alias("up")).alias("u")
+    below = bands.select("comp", (F.col("band") + 1).alias("band"), F.col("blocks").alias("down")).alias("l")
+    bands = bands.join(near_by, ["comp", "band"], "left").join(below, ["comp", "band"], "left").na.fill(0, ["up", "down"])
+    found = found.join(bands, ["comp", "band"], "left").drop("n")
     found = staged(found, "wanted")
+    # texts of candidates only, by a pre-filter of bounded size and then exactly
     scan = source.withColumn("_bucket", bucket(F.col("th"))).join(buckets_of(found, "th"), "_bucket", "left_semi").drop("_bucket")
-    wanted = scan.withColumnRenamed("doc_id", "_id").join(found, "th").filter(F.col("_id").eqNullSafe(F.col("doc_id"))).select("node", "comp", "copies", "blocks", "text")
-    sets = wanted.mapInArrow(_with_sets(width), "node long, comp long, copies long, blocks int, shingles binary")
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    dealt = (
-        sets.withColumn("own", own)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .withColumn("key", F.when(F.col("blocks") > 1, F.xxhash64("comp", F.least("own", "other"), F.greatest("own", "other"))).otherwise(F.pmod(F.xxhash64("comp"), F.lit(tasks))))
-        .select("key", "node", F.when(F.col("blocks") > 1, F.xxhash64("comp", F.least("own", "other"), F.greatest("own", "other"))).otherwise(F.col("comp")).alias("comp"), "copies", (F.col("own") > F.col("other")).cast("int").alias("side"), "shingles")
-    )
+    wanted = scan.withColumnRenamed("doc_id", "_id").join(found, "th").filter(F.col("_id").eqNullSafe(F.col("doc_id"))).select("node", "comp", "copies", "large", "band", "blocks", "up", "down", "text")
+    sets = wanted.mapInArrow(_with_sets(width), "node long, comp long, copies long, large boolean, band int, blocks int, up int, down int, shingles binary")
+    dealt = sets.withColumn("task", F.explode(_tasks(tasks))).select(F.col("task.key").alias("key"), "node", F.col("task.group").alias("comp"), "copies", F.col("task.side").alias("side"), "shingles")
     run, schema = _join(percent)
     links = staged(dealt.groupBy("key").applyInArrow(run, schema), "links")
     roots = components(links.select(F.col("node").alias("a"), F.col("other").alias("b")))
