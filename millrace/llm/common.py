@@ -47,17 +47,22 @@ def buckets_of(keys: DataFrame, key: str) -> DataFrame:
     return F.broadcast(keys.select(bucket(F.col(key)).alias("_bucket")).distinct())
 
 
-def near_semi(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-    """Rows of df that may match keys: no shuffle of df, no false negatives; the caller joins exactly afterwards."""
-    return df.withColumn("_bucket", bucket(F.col(key))).join(buckets_of(keys, key), "_bucket", "left_semi").drop("_bucket")
+def boxed(df: DataFrame, **extra: Column) -> DataFrame:
+    """df's columns in the struct `_row`, and extra columns beside it: names can't clash with those of the input."""
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row")
+    return df.select(row, *[c.alias(k) for k, c in extra.items()])
+
+
+def unboxed(df: DataFrame, columns: list[str]) -> DataFrame:
+    return df.select(*[F.col("_row").getField(c).alias(c) for c in columns])
 
 
 def without(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """df without the rows whose key is in keys; only rows in a bucket of some key are shuffled. Null keys stay."""
-    marked = df.withColumn("_bucket", bucket(F.col(key)))
-    sure = marked.join(buckets_of(keys, key), "_bucket", "left_anti")
-    rest = marked.join(buckets_of(keys, key), "_bucket", "left_semi").join(keys.select(key).distinct(), key, "left_anti")
-    return sure.unionByName(rest).drop("_bucket")
+    marked = boxed(df, _key=F.col(key), _bucket=bucket(F.col(key)))
+    sure = marked.join(buckets_of(keys, key), "_bucket", "left_anti").select("_row")
+    rest = marked.join(buckets_of(keys, key), "_bucket", "left_semi").join(keys.select(F.col(key).alias("_key")).distinct(), "_key", "left_anti").select("_row")
+    return unboxed(sure.unionByName(rest), df.columns)
 
 
 def crc_mod(doc_id: Column, n: int) -> Column:

@@ -223,24 +223,23 @@ def text_media(docs: DataFrame) -> DataFrame:
 
 
 def correct_types(df: DataFrame, blob: str, declared: str) -> DataFrame:
-    """df with media_type (validated; null if none), type_ok (the declared one agrees) and carved: array of embedded
-    media (type, offset, length, bytes)."""
+    """df's columns as the struct `row`, with media_type (validated; null if none), type_ok (the declared one agrees)
+    and carved: array of embedded media (type, offset, length, bytes)."""
     small_batches(df.sparkSession, 32)
-    extra = "media_type string, carved array<struct<type: string, offset: long, length: long, bytes: binary>>"
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(blob).alias("blob"))
+    schema = f"row {rows.schema['row'].dataType.simpleString()}, media_type string, carved array<struct<type: string, offset: long, length: long, bytes: binary>>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("type", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("bytes", pa.binary())]))
         for b in batches:
             kinds, carved = [], []
-            for x in b[blob].to_pylist():
+            for x in b["blob"].to_pylist():
                 found = sniff(x)
                 main = next((f for f in found if f.offset == 0), None)
                 kinds.append(main.kind if main else None)
                 # a wrapper's samples may hold media too
                 inner = [f._replace(offset=f.offset + main.data) for f in sniff(x[main.data : main.data + main.size])] if main and main.data > main.offset else []
                 carved.append([{"type": f.kind, "offset": f.offset, "length": f.length, "bytes": x[f.offset : f.offset + f.length]} for f in sorted([f for f in found if f.offset] + inner, key=lambda f: f.offset)])
-            kind = pa.list_(pa.struct([("type", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("bytes", pa.binary())]))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(kinds, pa.string()), pa.array(carved, kind)], names=[*b.schema.names, "media_type", "carved"])
+            yield pa.RecordBatch.from_arrays([b["row"], pa.array(kinds, pa.string()), pa.array(carved, kind)], names=["row", "media_type", "carved"])
 
-    out = df.mapInArrow(run, f"{schema}, {extra}")
-    return out.withColumn("type_ok", F.col(declared).eqNullSafe(F.col("media_type")))
+    return rows.mapInArrow(run, schema).withColumn("type_ok", F.col("row").getField(declared).eqNullSafe(F.col("media_type")))

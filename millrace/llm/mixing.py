@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, staged
+from .common import WORD, boxed, staged, unboxed
 
 LEVEL = 12  # bits of each histogram level
 SPARE = 64  # documents looked at around a cut
@@ -200,5 +200,5 @@ def mix_documents(docs: DataFrame) -> DataFrame:
     """docs with each row as often as the mix takes it."""
     sized = staged(by_source(docs.select("doc_id", "text", "source")), "sizes")
     mix = Mixture(sized, WEIGHTS, SHARE, MOST, SEED)
-    marked = mix.repeats(docs.withColumn("pattern", membership(F.array("source"))))
-    return marked.filter("repeats > 0").withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("repeats")))).select(docs.columns)
+    marked = mix.repeats(boxed(docs, doc_id=F.col("doc_id"), pattern=membership(F.array("source"))))
+    return unboxed(marked.filter("repeats > 0").withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("repeats")))), docs.columns)

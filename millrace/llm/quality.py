@@ -232,8 +232,7 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the classifier doesn't reject; their columns as they were."""
     small_batches(docs.sparkSession)
     weights = train(docs, labels)
-    named = docs.select(*[F.col(c).alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    named = docs.toDF(*["text" if c == "text" else n for c, n in zip(docs.columns, names)])
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in named.schema) + ", score double"
-    if "score" in docs.columns:
-        raise ValueError("docs must not have a column named score")
-    return named.mapInArrow(scorer(weights), schema).filter("score >= 0.5").drop("score")
+    return named.mapInArrow(scorer(weights), schema).filter("score >= 0.5").drop("score").toDF(*docs.columns)
