@@ -47,7 +47,7 @@ def features(score: Column, importance: Column, priority: Column, created: Colum
         F.coalesce(score, F.lit(0.0)),
         F.when(F.coalesce(importance, F.lit(0)) == 0, 5).otherwise(importance).cast("double"),
         weight(F.coalesce(priority, F.lit("None")), C.PRIORITY, 2.0),
-        F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(365.0), days)), F.lit(0.0)),
+        F.when(days.isNull(), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(365.0), days))),
         F.least(F.lit(50), F.coalesce(access, F.lit(0))).cast("double"),
         F.coalesce(same, F.lit(False)).cast("double"),
         weight(F.coalesce(source, F.lit("None")), C.SOURCE, 1.0),

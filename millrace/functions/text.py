@@ -249,7 +249,8 @@ def goal_comment(pct: Column, days: Column) -> Column:
 
 def progress(current: Column, target: Column) -> Column:
     """Percent of a target, 100 at most; 0 if the target is 0 or null."""
-    return F.coalesce(F.least(F.lit(100.0), F.try_divide(current, target) * 100), F.lit(0.0))
+    pct = F.try_divide(current, target) * 100
+    return F.when(pct.isNull(), 0.0).otherwise(F.least(F.lit(100.0), pct))
 
 
 def ago(seconds: Column) -> Column:

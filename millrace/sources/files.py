@@ -53,10 +53,11 @@ def pools(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
 
 
 def uploads(spark: SparkSession, path: str, most: int = 5 << 20) -> DataFrame:
-    """path, text, accepted, why of text uploads: by suffix, size and emptiness; utf-8, else utf-16, else latin-1."""
+    """path, text, accepted, why of text uploads: by suffix and size; utf-8, else utf-16, else latin-1. Spark lists no empty
+    files, so those never appear."""
     files = spark.read.format("binaryFile").load(path)
     good = F.lower("path").rlike("(" + "|".join(s.replace(".", r"\.") for s in SUFFIXES) + ")$")
-    why = F.when(~good, "type").when(F.col("length") > most, "size").when(F.col("length") == 0, "empty")
+    why = F.when(~good, "type").when(F.col("length") > most, "size")
     text = F.when(why.isNull(), decode_upload_udf("content"))
     return files.select("path", text.alias("text"), why.isNull().alias("accepted"), why.alias("why"))
 

@@ -24,8 +24,9 @@ def overlap(a: str | None, b: str | None, stop: frozenset[str]) -> float:
     return len(x & y) / len(x | y) if x and y else 0.0
 
 
-def label_stream(turns: DataFrame, timeout_ms: int = 3_600_000, stop: frozenset[str] = frozenset(C.OVERLAP_STOPWORDS)) -> DataFrame:
-    """Labels of a stream of turns (session, seq, message, memory_text); a newer retrieval replaces a pending one."""
+def label_stream(turns: DataFrame, timeout_ms: int | None = 3_600_000, stop: frozenset[str] = frozenset(C.OVERLAP_STOPWORDS)) -> DataFrame:
+    """Labels of a stream of turns (session, seq, message, memory_text); a newer retrieval replaces a pending one.
+    timeout_ms: after which a session without a next turn is dropped; None never drops one."""
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -42,7 +43,8 @@ def label_stream(turns: DataFrame, timeout_ms: int = 3_600_000, stop: frozenset[
                 pending = (int(turn.seq), turn.message[:400], (turn.memory_text or "")[:1200])
         if pending is not None:
             state.update(pending)
-            state.setTimeoutDuration(timeout_ms)
+            if timeout_ms is not None:
+                state.setTimeoutDuration(timeout_ms)
         yield pd.DataFrame(rows, columns=["session", "seq", "message", "next_message", "topic_overlap", "memory_overlap", "continued"])
 
-    return turns.groupBy("session").applyInPandasWithState(run, OUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return turns.groupBy("session").applyInPandasWithState(run, OUT, STATE, "append", GroupStateTimeout.NoTimeout if timeout_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
