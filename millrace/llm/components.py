@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import discard, staged
 
 ROUNDS = 100  # far beyond the squared logarithm of any graph's size that the method needs
 
@@ -31,7 +31,8 @@ def components(edges: DataFrame) -> DataFrame:
         # small star: a node and its smaller neighbours go to the smallest of them
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
-        now, before = staged(small.distinct(), "edges"), seen
+        last, now, before = now, staged(small.distinct(), "edges"), seen
+        discard(last)
         seen = _mark(now)
         if seen == before:
             break

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, boxed, bucket, buckets_of, staged, unboxed, without
+from .common import SPACE, boxed, bucket, buckets_of, discard, staged, unboxed, without
 from .exchange import owners_of, repeated, with_replies
 
 BLOCK_ROWS = 8192
@@ -83,6 +83,7 @@ def exact_duplicates(docs: DataFrame, bits: int = 48) -> DataFrame:
     blocks = staged(prints.mapInArrow(_pack, BLOCKS), "blocks")
     owners = owners_of(blocks)
     marked = staged(with_replies(blocks, owners, bits).mapInArrow(_mark(bits, owners), "doc_id long, row string, fp long, text_sha256 string, suspect boolean"), "rows")
+    discard(blocks)
     suspects = marked.filter("suspect")
     # the scan passes suspects' buckets only; equal fingerprints, digests and bytes make a class
     wanted = text.withColumn("fp", fingerprint(F.col("text"), bits)).withColumn("_bucket", bucket(F.col("fp"))).join(buckets_of(suspects, "fp"), "_bucket", "left_semi")

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bucket, buckets_of, small_batches, staged, without
+from .common import bucket, buckets_of, discard, small_batches, staged, without
 from .components import components
 from .exchange import BITS, owners_of, repeated, with_replies
 from .packing import chunks, raw_texts
@@ -359,10 +359,12 @@ def jaccard_join(docs: DataFrame, width: int = 3, percent: int = 90, block_rows:
     blocks = staged(source.select("text").mapInArrow(run, schema), "prefixes")
     owners = owners_of(blocks)
     found = staged(with_replies(blocks, owners).mapInArrow(_shared(owners), "g long, d1 long, least long").distinct(), "shared")
+    discard(blocks)
     # of the c fingerprints that a set has left, the c - least + 1 rarest hold one of each linked set's
     rarity = found.groupBy("g").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     left = found.join(rarity, "g").withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("d1"))).withColumn("rank", F.row_number().over(Window.partitionBy("d1").orderBy("df", "g")))
-    grouped = left.filter(F.col("rank") <= F.col("c") - F.col("least") + 1).select("g", "d1")
+    grouped = staged(left.filter(F.col("rank") <= F.col("c") - F.col("least") + 1).select("g", "d1"), "indexed")
+    discard(found)
     shared = grouped.groupBy("g").agg(F.min("d1").alias("low"), F.max("d1").alias("high")).filter("low <> high")
     near = components(grouped.join(shared.select("g", "low"), "g").filter("d1 <> low").select(F.col("d1").alias("a"), F.col("low").alias("b")))
     found = staged(classes.join(near.select(F.col("node").alias("d1"), F.col("root").alias("comp")), "d1"), "candidates")
