@@ -376,7 +376,8 @@ def test_quality_accuracy(spark):
     assert sum(r["predicted"] == r["quality"] for r in held) >= 0.93 * len(held)
 
 
-def test_quality_gradients():
+def test_quality_gradients(monkeypatch):
+    monkeypatch.setattr(quality, "STEPS", 3)
     rng = np.random.default_rng(3)
     texts = [bytes(rng.integers(97, 123, n).astype(np.uint8)) for n in (700, 90, 0)]
     y = np.array([1, 0, 1], np.float32)
