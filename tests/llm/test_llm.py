@@ -297,15 +297,15 @@ def test_declared_types(spark):
     assert got[1][1] is False and got[2] == (None, True) and got[3] == (None, True)
 
 
-def test_mix_meets_targets(spark, sf):
+def test_mix_meets_targets(spark):
+    sf = "/root/testdata/sf0.01"
     rows = mixing.mix_report(documents(spark, sf)).join(documents(spark, sf).select("doc_id", "source"), "doc_id").toPandas()
     size = {i: len(word_list(t)) for i, t in documents(spark, sf).select("doc_id", "text").collect()}
     assert (rows["size"] == rows.doc_id.map(size)).all() and (rows.taken <= 2 * rows["size"]).all()
     by = rows.groupby("source").agg(n=("size", "sum"), source_size=("source_size", "first"), target=("target", "first"), taken=("taken", "sum"))
-    assert (by.n == by.source_size).all() and ((by.taken - by.target).abs() <= 0.05 * by.target + 50).all()
+    assert (by.n == by.source_size).all() and ((by.taken - by.target).abs() <= 0.02 * by.target).all()
     assert by.target.sum() == pytest.approx(1.5 * by.n.sum())
     again = mixing.mix_report(documents(spark, sf).repartition(3))
-    assert sorted(again.select("doc_id", "taken").collect()) == sorted(map(tuple, rows[["doc_id", "taken"]].values.tolist())) or True
     assert {r[0]: r[1] for r in again.select("doc_id", "taken").collect()} == dict(zip(rows.doc_id, rows.taken))
 
 
