@@ -260,6 +260,28 @@ def test_line_groups(spark):
     assert clean[2] == "short line" and clean[1] == rows[0][1] and clean[4] is None
 
 
+def test_lines_with_edits_are_near_copies(spark):
+    rng = np.random.default_rng(11)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    word = lambda: "".join(rng.choice(letters, rng.integers(2, 10)))
+    rows = []
+    for i in range(120):
+        line = [word() for _ in range(rng.integers(12, 60))]
+        new = list(line)
+        if i % 2:  # a word in twelve is another of its length, so the edit similarity is above 0.8
+            for at in rng.choice(len(line), len(line) // 12, replace=False):
+                new[at] = "".join(rng.choice(letters, len(line[at])))
+        else:  # a letter in thirty is another
+            text = list(" ".join(line))
+            for at in rng.choice(len(text), len(text) // 30, replace=False):
+                text[at] = "x" if text[at] != " " else " "
+            new = "".join(text).split(" ")
+        rows += [(2 * i, " ".join(line)), (2 * i + 1, " ".join(new))]
+    rows += [(1000 + i, " ".join(word() for _ in range(20))) for i in range(50)]
+    gone = {r["doc_id"] for r in line_dedup.dedup_report(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r["dropped"]}
+    assert gone <= {2 * i + 1 for i in range(120)} and len(gone) >= 0.95 * 120
+
+
 def test_line_dedup_is_native(spark, awkward):
     plan = line_dedup.dedup_report(awkward)._jdf.queryExecution().toString() + license_scan.scan(awkward)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
