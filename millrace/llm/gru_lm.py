@@ -6,8 +6,8 @@ bytes, with its share of the corpus counts inside the class. A word's probabilit
 state, times its share of the class. All words have some probability: an unknown word gets a count of 0 + 1.
 
 Training is data-parallel: in each round every scan partition continues from the shared weights on its part of the
-training sample (a hash-chosen share of the training documents, so it grows with the input) by truncated
-backpropagation, and the weights are averaged by tokens. Scoring runs the documents of a chunk side by side, longest
+round's training documents by truncated backpropagation, and the weights are averaged by tokens. The rounds deal all
+training documents among them by hash, so each is learnt from once. Scoring runs the documents of a chunk side by side, longest
 first, window by window; the state goes on from window to window to the end of each text. Counts of words beyond the
 TABLE most frequent are joined by hash, so that no table that grows with the input is broadcast.
 
@@ -35,7 +35,7 @@ CLASSES = HEAD // MEMBERS + TAILS
 FIRST = HEAD + TAILS  # input before the first word
 TABLE = 1 << 20
 END_HASH = np.uint64(1)
-SHARE, LEAST_DOCS, ROUNDS = 1 / 32, 3000, 3
+ROUNDS = 3
 LANES, WINDOW, RATE = 32, 16, 0.01
 
 
@@ -296,15 +296,14 @@ def vocabulary(train: DataFrame) -> tuple[Vocabulary, DataFrame]:
     return Vocabulary(kept["h"].to_numpy().view(np.uint64), kept["n"].to_numpy(), kept["tail"].to_numpy(), total, distinct, sums), counts
 
 
-def train_model(train: DataFrame, v: Vocabulary, docs: int) -> dict:
-    """Weights after ROUNDS of local training and averaging on a share of train (key, text)."""
+def train_model(train: DataFrame, v: Vocabulary) -> dict:
+    """Weights after ROUNDS of local training and averaging, each on its part of train (key, text)."""
     spark = train.sparkSession
     w = start_weights(v)
-    share = max(SHARE, min(1.0, LEAST_DOCS / max(1, docs)))
-    u = F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(1 << 20)) / float(1 << 20)
+    turn = F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(ROUNDS))
     vocab = spark.sparkContext.broadcast(v)
     for i in range(ROUNDS):
-        part = train.filter((u >= share * i / ROUNDS) & (u < share * (i + 1) / ROUNDS)).select("text")
+        part = train.filter(turn == i).select("text")
         shared = spark.sparkContext.broadcast(w)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -332,7 +331,7 @@ def score(docs: DataFrame) -> DataFrame:
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     train = source.filter(~held_out)
     v, counts = vocabulary(train.select("text"))
-    w = train_model(train, v, train.count())
+    w = train_model(train, v)
     model = spark.sparkContext.broadcast((v, w))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

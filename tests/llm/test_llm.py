@@ -186,6 +186,21 @@ def test_lm_counts_and_gain(spark, sf, monkeypatch):
     assert held and sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
+def test_lm_learns_from_all_training_documents(spark, monkeypatch):
+    docs = spark.range(3500).select("id", F.concat(F.lit("some words "), F.col("id").cast("string")).alias("text"))
+    train = docs.withColumnRenamed("id", "doc_id")
+    mean, seen = gru_lm._mean, []
+
+    def spy(t):
+        seen.append(sum(t["tokens"].to_pylist()))
+        return mean(t)
+
+    monkeypatch.setattr(gru_lm, "_mean", spy)
+    v, _ = gru_lm.vocabulary(train.select("text"))
+    gru_lm.train_model(train, v)
+    assert sum(seen) == v.total == 4 * 3500
+
+
 def test_lm_state_crosses_windows_and_chunks():
     texts = [b"a b c " * 50, b"", b"c a b"]
     k = gru_lm.Tokens(texts)
