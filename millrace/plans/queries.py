@@ -456,7 +456,8 @@ def regeneration_batches(spark, d):
  SELECT s.*, over_quota AS topics_over, missing AS topics_missing, target AS target_pairs, CASE WHEN marker_pass_rate >= 0.9 AND advice_rate = 0 AND over_quota = 0 AND total_pairs >= target THEN 'ok_to_train' ELSE 'needs_review' END AS verdict FROM s, o""")
 def dataset_report(spark, d):
     rows = _pairs_table(spark, d)
-    out = gates.quality_report(rows, SPEC, rows.limit(0))
+    near = similarity.worst_match(rows.select("id", T.token_set(F.col("user"), _TOKENS).alias("tokens")), *SPEC.similarity)
+    out = gates.quality_report(rows, SPEC, near)
     return out.select("total_pairs", *[F.round(c, 6).alias(c) for c in ("avg_user_length", "avg_reply_length", "marker_pass_rate", "advice_rate")], "topics_over", "topics_missing", F.col("target_pairs").cast("long").alias("target_pairs"), "verdict")
 
 

@@ -137,3 +137,15 @@ def test_sources(spark, tmp_path):
     ranking = files.ranking_rows(spark, 5, 4)
     assert ranking.count() == 20 and ranking.filter("grade not between 0 and 3").count() == 0
     assert "_pending_" in files.markdown(spark.createDataFrame([("a", 1.0)], "config string, x double"), ["a", "b"], "config", ["x"])
+
+
+def test_dataset_report_blocks_on_near_duplicates(spark, monkeypatch):
+    from millrace.plans import queries
+
+    verdicts = []
+    for copies in (0, 1):
+        rows = [(i, " ".join(f"w{i}x{k}" for k in range(8)), "the reply", "3") for i in range(520)]
+        rows += [(1000 + i, rows[i][1] + " more", "the reply", "3") for i in range(copies)]
+        monkeypatch.setattr(queries, "_pairs_table", lambda *_: spark.createDataFrame(rows, "id long, user string, reply string, topic string"))
+        verdicts.append(queries.dataset_report(spark, "").first()["verdict"])
+    assert verdicts == ["ok_to_train", "needs_review"]
