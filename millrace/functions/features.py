@@ -38,7 +38,7 @@ def weight(c: Column, table: Mapping[str, float], default: float) -> Column:
     return out
 
 
-def features(score: Column, importance: Column, priority: Column, created: Column, access: Column, topic: Column, source: Column, content: Column, query_topic: Column, now: Column) -> list[Column]:
+def features(score: Column, importance: Column, priority: Column, created: Column, access: Column, topic: Column, source: Column, length: Column, query_topic: Column, now: Column) -> list[Column]:
     """The eight ranking features, in order. Missing values count as their defaults."""
     days = (F.unix_micros(now) - F.unix_micros(created)) / 8.64e10
     mine, asked = F.lower(F.trim(topic)), F.lower(F.trim(query_topic))
@@ -51,7 +51,7 @@ def features(score: Column, importance: Column, priority: Column, created: Colum
         F.least(F.lit(50), F.coalesce(access, F.lit(0))).cast("double"),
         F.coalesce(same, F.lit(False)).cast("double"),
         weight(F.coalesce(source, F.lit("None")), C.SOURCE, 1.0),
-        F.least(F.lit(1.0), F.length(F.coalesce(content, F.lit(""))) / 2000.0),
+        F.least(F.lit(1.0), length / 2000.0),
     ]
     return [c.alias(n) for c, n in zip(cols, FEATURES)]
 

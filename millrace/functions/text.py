@@ -126,6 +126,13 @@ def sentences(c: Column) -> Column:
     return F.filter(F.regexp_extract_all(text_of(c), F.lit(r"(?s)[^.!?]*[.!?]+[\s\"')\]]*|[^.!?]+$"), F.lit(0)), lambda s: s != "")
 
 
+def sentence_offsets(c: Column) -> Column:
+    """Sentences as structs of `at`, the characters before one, and `sentence`. Together they are the whole text."""
+    found = sentences(c)
+    before = F.transform(found, lambda s, i: F.aggregate(F.slice(found, F.lit(1), i), F.lit(0), lambda n, x: n + F.length(x)))
+    return F.zip_with(found, before, lambda s, at: F.struct(at.alias("at"), s.alias("sentence")))
+
+
 def ends_with_question(c: Column) -> Column:
     return F.regexp_replace(F.trim(text_of(c)), r"[\"'”’)]+$", "").endswith("?")
 
@@ -270,3 +277,31 @@ def short_date(value: Column, year: int) -> Column:
     """`5 Jan`, with the year unless it is the given one; what isn't a date keeps its first 10 characters."""
     t = F.try_to_timestamp(value)
     return F.when(t.isNull(), F.substring(value, 1, 10)).when(F.year(t) == year, F.date_format(t, "d MMM")).otherwise(F.date_format(t, "d MMM yyyy"))
+
+
+def long_date(value: Column) -> Column:
+    """`Thursday, August 14`; what isn't a date keeps its first 10 characters, nothing is ''."""
+    t = F.try_to_timestamp(value)
+    return F.when(text_of(value) == "", "").when(t.isNull(), F.substring(value, 1, 10)).otherwise(F.date_format(t, "EEEE, MMMM d"))
+
+
+def parse_day(value: Column) -> Column:
+    """Date of an ISO date or date and time; null is what a request would be refused for."""
+    iso = value.rlike(r"^\d{4}-\d{2}-\d{2}([T ]\d{2}(:\d{2}(:\d{2}(\.\d{1,6})?)?)?)?$")
+    return F.when(iso, F.call_function("try_to_date", F.substring(value, 1, 10)))
+
+
+def week_start(value: Column, today: Column) -> Column:
+    """The given day, or the Monday of today's week if none is given."""
+    return F.when(text_of(value) == "", F.date_trunc("week", today).cast("date")).otherwise(parse_day(value))
+
+
+def bump(current: Column, target: Column, delta: Column) -> Column:
+    """Progress after a step, from 0 to the target (1 if there is none)."""
+    return F.greatest(F.lit(0.0), F.least(current + delta, F.coalesce(target, F.lit(1.0))))
+
+
+def shown_percent(current: Column, target: Column) -> Column:
+    """Whole percent, halves up, 100 at most; 0 without a target."""
+    pct = F.try_divide(current, target) * 100
+    return F.when(pct.isNull(), 0).otherwise(F.least(F.lit(100), F.floor(pct + 0.5).cast("int")))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
+from ..functions.text import lead_summary
 
 
 def mood(labels: str = "sentiment") -> Column:
@@ -68,6 +69,20 @@ def daily(messages: DataFrame, least: int = C.MIN_MESSAGES) -> DataFrame:
     return days.join(key_topics(dated, ["user_id", "day"]), ["user_id", "day"], "left").withColumnRenamed("topics", "key_topics")
 
 
+def full_daily(messages: DataFrame, goals: DataFrame, least: int = C.MIN_MESSAGES, width: int = 1000) -> DataFrame:
+    """user_id, day, message_count, mood_trend, key_topics, summary, alignment, achievements, challenges: everything that
+    is said of a day. messages: user_id, ts, seq, text, sentiment; the summary is the lead of the first `width`
+    characters, the alignment is held against all the day's texts."""
+    by = ["user_id", "day"]
+    dated = messages.withColumn("day", F.to_date("ts"))
+    said = dated.filter(F.coalesce("text", F.lit("")) != "").groupBy(*by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]), " ").alias("corpus"))
+    days = daily(messages, least).join(said, by, "left").withColumn("corpus", F.coalesce("corpus", F.lit("")))
+    out = alignment(days.withColumn("n", F.col("message_count")), goals).withColumn("summary", lead_summary(F.substring("corpus", 1, width))).drop("corpus", "n")
+    for labels, name in ((C.POSITIVE, "achievements"), (C.NEGATIVE, "challenges")):
+        out = out.join(snippets(dated, by, labels).withColumnRenamed("snippets", name), by, "left").withColumn(name, F.coalesce(name, F.array().cast("array<string>")))
+    return out
+
+
 def weekly(days: DataFrame, limit: int = 8) -> DataFrame:
     """Per user and week: days with data, messages, commonest mood (of equal ones the earliest day's), top topics.
     days: user_id, day, message_count, mood_trend, key_topics, and alignment if there is one."""

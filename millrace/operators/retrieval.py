@@ -41,8 +41,10 @@ def knn(queries: DataFrame, memories: DataFrame, k: int) -> DataFrame:
 
 
 def rerank(pool: DataFrame, now: Column, keep: Column | int) -> DataFrame:
-    """Features, blended score and the best `keep` of each query's pool; ties by cosine, then id."""
-    cols = X.features(*(F.col(c) for c in ("score", "importance", "user_priority", "created_date", "access_count", "topic", "source", "content", "query_topic")), now)
+    """Features, blended score and the best `keep` of each query's pool; ties by cosine, then id. The pool has each
+    memory's content or its content_length."""
+    length = F.col("content_length") if "content_length" in pool.columns else F.length(F.coalesce("content", F.lit("")))
+    cols = X.features(*(F.col(c) for c in ("score", "importance", "user_priority", "created_date", "access_count", "topic", "source")), length, F.col("query_topic"), now)
     scored = pool.drop("rank").select("query_id", "id", F.col("score").alias("vector_score"), *[c for c in pool.columns if c in ("title", "topic")], *[c.alias(f"f_{n}") if n in ("source",) else c for c, n in zip(cols, X.FEATURES)])
     row = {n: F.col("f_source") if n == "source" else F.col(n) for n in X.FEATURES}
     scored = scored.withColumn("rank_score", X.blend(row))
@@ -56,7 +58,10 @@ def retrieve(queries: DataFrame, memories: DataFrame, now: Column, label: str =
     for k, (n, _, size) in C.BUDGET.items():
         pool = F.when(F.col(label) == k, size).otherwise(pool)
         keep = F.when(F.col(label) == k, n).otherwise(keep)
-    found = top(candidates(queries, memories), ["query_id"], [F.desc("score"), F.asc("id")], pool)
+    # the largest pool as a number lets each task keep that many rows a query; the content is only needed by length
+    most = max(size for *_, size in C.BUDGET.values())
+    small = memories.withColumn("content_length", F.length(F.coalesce("content", F.lit("")))).drop("content")
+    found = top(candidates(queries, small), ["query_id"], [F.desc("score"), F.asc("id")], most).filter(F.col("rank") <= pool)
     kept = rerank(found, now, 10**9)
     limits = queries.select("query_id", keep.alias("_keep"))
     limits = F.broadcast(limits) if bounded(queries, BROADCAST_QUERIES) else limits

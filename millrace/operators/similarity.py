@@ -42,6 +42,23 @@ def first_duplicate(new: DataFrame, old: DataFrame, num: int = 3, den: int = 4)
     return pairs.groupBy(F.col("a").alias("id")).agg(F.min(-F.col("b") - 1).alias("match"))
 
 
+def greedy_duplicates(rows: DataFrame, num: int = 3, den: int = 4) -> DataFrame:
+    """id of rows (topic, id, tokens) above the threshold with an earlier row of their topic that isn't one itself. The
+    join finds the pairs; only rows that are in one go through the sequential pass."""
+    topic = rows.select("id", "topic")
+    pairs = jaccard_pairs(rows.select("id", "tokens"), num, den).select("a", "b")
+    near = pairs.join(topic.select(F.col("id").alias("a"), "topic"), "a").join(topic.select(F.col("id").alias("b"), F.col("topic").alias("_other")), "b").filter(F.col("topic").eqNullSafe(F.col("_other")))
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        gone: set[int] = set()
+        for a, earlier in group.groupby("a", sort=True)["b"]:
+            if any(b not in gone for b in earlier):
+                gone.add(a)
+        return pd.DataFrame({"id": sorted(gone)}, dtype="int64")
+
+    return near.select("topic", "a", "b").groupBy("topic").applyInPandas(run, "id long")
+
+
 def greedy_keep(rows: DataFrame, num: int = 3, den: int = 4, window: int = 200) -> DataFrame:
     """id, grp, kept of rows (grp, id, tokens, passes): in id order a row is kept if it passes and no kept row among the
     last `window` is above the threshold. Order-dependent, so a group is one task; groups are small data sets by

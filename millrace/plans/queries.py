@@ -635,9 +635,10 @@ def sliding_usage(spark, d):
     return rollups.rate(e, "event_type", "one", 3600).select("event_id", "used")
 
 
-@query("SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS requests FROM events GROUP BY 1, 2")
+@query("SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS requests, round(sum(value::DECIMAL(18, 4)), 4)::DOUBLE AS used FROM events GROUP BY 1, 2")
 def daily_usage(spark, d):
-    return rollups.daily_usage(table(spark, d, "events"), "user_id", "value").drop("used")
+    events = table(spark, d, "events").withColumn("value", F.col("value").cast("decimal(18,4)"))
+    return rollups.daily_usage(events, "user_id", "value").withColumn("used", F.col("used").cast("double"))
 
 
 @query(f"""WITH {CHAT_SQL}, h AS (SELECT session, string_agg('User: ' || CASE WHEN length(t) > 300 THEN substring(t, 1, 300) || '...' ELSE t END || chr(10) || 'You: ' || CASE WHEN length(r) > 300 THEN substring(r, 1, 300) || '...' ELSE r END, chr(10) || chr(10) ORDER BY seq) AS s
@@ -687,9 +688,9 @@ def verse_citations(spark, d):
 @query()
 def salvaged_pairs(spark, d):
     """Replies as models give them, made of chat turns: fenced, with a trailing comma, cut off."""
-    one = F.to_json(F.struct(F.col("message").alias("user"), F.col("reply").alias("eka_response")))
+    one = F.to_json(F.struct(F.col("message").alias("user"), F.col("reply").alias("reply")))
     raw = F.when(F.col("pos") % 3 == 0, F.concat(F.lit("```json\n["), one, F.lit(", ]\n```"))).when(F.col("pos") % 3 == 1, F.concat(F.lit("Here: "), one, F.lit(' {"user": "cut'))).otherwise(F.concat(F.lit("["), one, F.lit("]")))
-    return chat(spark, d).select("pos", F.explode(P.extract_pairs_udf(3)(raw)).alias("p")).select("pos", "p.user", "p.eka_response")
+    return chat(spark, d).select("pos", F.explode(P.extract_pairs_udf(3)(raw)).alias("p")).select("pos", "p.user", "p.reply")
 
 
 @query()

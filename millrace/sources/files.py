@@ -10,7 +10,7 @@ from pyspark.sql.types import StructType
 
 from ..functions.parsing import decode_upload_udf
 
-PAIR = "user string, eka_response string, mode string, tags array<string>"
+PAIR = "user string, reply string, mode string, tags array<string>"
 SUFFIXES = (".txt", ".md", ".markdown")
 
 
@@ -26,6 +26,42 @@ def read_array(spark: SparkSession, path: str, schema: str | StructType = PAIR)
     return spark.read.schema(schema).option("multiLine", True).option("mode", "DROPMALFORMED").json(path)
 
 
+def load_array(spark: SparkSession, path: str, schema: str | StructType = PAIR) -> DataFrame:
+    """read_array; a file that isn't JSON at all is first renamed to `.bak`, so that no later write takes its place."""
+    if exists(spark, path):
+        text = spark.read.text(path, wholetext=True)
+        broken = text.filter(F.trim("value") != "").filter(F.try_parse_json("value").isNull()).limit(1).count()
+        if broken:
+            old, new = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (path, path + ".bak"))
+            old.getFileSystem(spark._jsc.hadoopConfiguration()).rename(old, new)
+    return read_array(spark, path, schema)
+
+
+def write_array(df: DataFrame, path: str, order: str) -> None:
+    """One JSON array file of a small data set, in order, published by a rename: what was there stays whole until the
+    new file is. Larger data sets are written as lines."""
+    spark = df.sparkSession
+    line = F.to_json(F.struct(*[c for c in df.columns if c != order]), {"ignoreNullFields": "false"})
+    one = df.agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), line.alias("x")))).alias("x")).select(F.concat(F.lit("[\n  "), F.array_join(F.transform("x", lambda x: x["x"]), ",\n  "), F.lit("\n]")).alias("value"))
+    one.coalesce(1).write.mode("overwrite").text(path + ".tmp")
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    folder, target = hadoop.Path(path + ".tmp"), hadoop.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    part = next(x.getPath() for x in fs.listStatus(folder) if x.getPath().getName().startswith("part-"))
+    fs.delete(target, True)
+    fs.rename(part, target)
+    fs.delete(folder, True)
+
+
+def held_out(spark: SparkSession, path: str, n: int) -> DataFrame:
+    """user, gold of the first n ChatML texts of a JSON lines file, in the file's order; texts without both are none."""
+    from ..functions.text import chatml_turn
+
+    rows = spark.read.schema("text string").option("mode", "DROPMALFORMED").json(path).withColumn("_at", F.monotonically_increasing_id())
+    turns = rows.select("_at", F.trim(chatml_turn(F.col("text"), "user")).alias("user"), F.trim(chatml_turn(F.col("text"), "assistant")).alias("gold"))
+    return turns.filter("user <> '' and gold <> ''").orderBy("_at").limit(n).drop("_at")
+
+
 def read_lines(spark: SparkSession, path: str, schema: str | StructType, strict: bool = False) -> DataFrame:
     """JSON lines. Strict reading fails at the first malformed line; else such lines and blank ones are skipped."""
     return spark.read.schema(schema).option("mode", "FAILFAST" if strict else "DROPMALFORMED").json(path)
@@ -62,6 +98,13 @@ def uploads(spark: SparkSession, path: str, most: int = 5 << 20) -> DataFrame:
     return files.select("path", text.alias("text"), why.isNull().alias("accepted"), why.alias("why"))
 
 
+def upload_memories(found: DataFrame) -> DataFrame:
+    """A memory row for each accepted upload with text: the file's name is its title."""
+    name = F.regexp_replace(F.substring_index("path", "/", -1), r"\.[^.]*$", "")
+    kept = found.filter(F.col("accepted") & (F.trim("text") != ""))
+    return kept.select(F.substring(name, 1, 255).alias("title"), F.trim("text").alias("content"), F.lit("upload").alias("source"), F.lit(5).alias("importance"), F.array().cast("array<string>").alias("tags"))
+
+
 def to_report(df: DataFrame, *columns: str) -> Column:
     """The columns as one JSON text."""
     return F.to_json(F.struct(*columns))

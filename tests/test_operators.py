@@ -121,7 +121,7 @@ def test_sources(spark, tmp_path):
     good.write_text('{"a": 1}\n\n{"a": 2}\nnot json\n')
     assert files.read_lines(spark, str(good), "a int").count() == 2
     array = tmp_path / "pairs.json"
-    array.write_text(json.dumps([{"user": " u ", "eka_response": "r", "mode": "m", "tags": ["t"]}, {"user": " ", "eka_response": "r"}]))
+    array.write_text(json.dumps([{"user": " u ", "reply": "r", "mode": "m", "tags": ["t"]}, {"user": " ", "reply": "r"}]))
     assert files.count_rows(spark, str(array)) == 2 and files.count_rows(spark, str(tmp_path / "none.json")) == 0
     assert [tuple(r) for r in files.pools(spark, {"m": str(array), "n": str(tmp_path / "none.json")}).collect()] == [("m", "u")]
     files.write_lines(files.read_array(spark, str(array)), str(tmp_path / "out"))

@@ -118,10 +118,10 @@ def test_verses(text, want):
 
 def test_json_repair():
     assert P.drop_trailing_commas('[{"a": "x, }",}, ]') == '[{"a": "x, }"} ]'
-    pair = '{"user": "u", "eka_response": "r"}'
+    pair = '{"user": "u", "reply": "r"}'
     assert len(P.extract_pairs(f"```json\n[{pair}, {pair}, ]\n```", 5)) == 2
     assert len(P.extract_pairs(f"text {pair} more {{\"user\": \"cut", 5)) == 1
-    assert P.extract_pairs(f"[{pair}, {pair}]", 1) == [{"user": "u", "eka_response": "r"}]
+    assert P.extract_pairs(f"[{pair}, {pair}]", 1) == [{"user": "u", "reply": "r"}]
     assert P.extract_pairs(None, 3) == [] and P.extract_pairs("[1, 2]", 3) == []
     assert P.extract_json('x {"a": "b\nc"} y') == {"a": "b c"} and P.extract_json("") is None
 
