@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,16 +13,22 @@ from pyspark.sql import functions as F
 #: ASCII white space as the contracts define it, as a Java regular expression class.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
-#: Keys are hashed into this many buckets; a broadcast of buckets never has more rows than this.
-BUCKETS = 1 << 18
+#: A key filter has this many rows of 64 bits at most, however many keys there are.
+FILTER_ROWS = 1 << 18
+_local: list[str] = []
 
 
 def work_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; a machine-local one only where that is unset, as in tests."""
+    """A new folder under spark.checkpoint.dir. Only where that is unset and everything runs in this one process, as in
+    tests, it is a machine-local one; on a cluster that would lose rows, so there it is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="millrace-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir is unset: intermediate tables need a folder that all executors share")
+        if not _local:
+            _local.append("file://" + tempfile.mkdtemp(prefix="millrace-"))
+        base = _local[0]
     return f"{base.rstrip('/')}/millrace-{uuid.uuid4().hex}"
 
 
@@ -41,19 +49,73 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path.getParent(), True)
 
 
-def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Bounds the Arrow batches that reach Python, as one text can be very long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 256) -> Iterator[None]:
+    """Bounds the Arrow batches that reach Python, as one text can be very long; the session's settings come back. Holds
+    for what is written inside, not for what is lazily returned."""
+    wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
+    before = {k: spark.conf.get(k) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
-def bucket(key: Column) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(BUCKETS))
+def staged_small(df: DataFrame, name: str = "stage", rows: int = 256) -> DataFrame:
+    """staged, with small Arrow batches on the way."""
+    with small_batches(df.sparkSession, rows):
+        return staged(df, name)
 
 
-def buckets_of(keys: DataFrame, key: str) -> DataFrame:
-    """The distinct buckets of a key, for broadcast: at most BUCKETS rows, however many keys there are."""
-    return F.broadcast(keys.select(bucket(F.col(key)).alias("_bucket")).distinct())
+def give_back() -> None:
+    """Executors count the memory that malloc keeps in their Python workers; only glibc has this call."""
+    import ctypes
+
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def released(run: Callable) -> Callable:
+    """run, for mapInArrow; when a task ends and what it held is free, the worker, which lives on, gives that back."""
+
+    def through(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        give_back()
+
+    return through
+
+
+def released_group(run: Callable) -> Callable:
+    """run, for applyInArrow, in the same way."""
+
+    def through(table):
+        out = run(table)
+        give_back()
+        return out
+
+    return through
+
+
+def _cell(keys: list[Column]) -> tuple[Column, Column]:
+    """Row of a filter that a key belongs to, and the key's bit there."""
+    h = F.xxhash64(*keys)
+    return F.shiftrightunsigned(h, 64 - (FILTER_ROWS.bit_length() - 1)).cast("int"), F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
+
+
+def key_filter(keys: DataFrame, *names: str) -> DataFrame:
+    """The hashed keys as FILTER_ROWS * 64 bits, for broadcast: its size doesn't grow with the number of keys."""
+    row, bit = _cell([F.col(n) for n in names])
+    return F.broadcast(keys.select(row.alias("_cell"), bit.alias("_bit")).groupBy("_cell").agg(F.bit_or("_bit").alias("_bits")))
+
+
+def passing(df: DataFrame, held: DataFrame, *keys: Column) -> DataFrame:
+    """Rows of df whose key may be in the filter; all that are in it, and some that aren't."""
+    row, bit = _cell(list(keys))
+    return df.withColumn("_cell", row).withColumn("_bit", bit).join(held, "_cell").filter(F.col("_bits").bitwiseAND(F.col("_bit")) != 0).drop("_cell", "_bit", "_bits")
 
 
 def boxed(df: DataFrame, **extra: Column) -> DataFrame:
@@ -66,12 +128,17 @@ def unboxed(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(*[F.col("_row").getField(c).alias(c) for c in columns])
 
 
-def without(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-    """df without the rows whose key is in keys; only rows in a bucket of some key are shuffled. Null keys stay."""
-    marked = boxed(df, _key=F.col(key), _bucket=bucket(F.col(key)))
-    sure = marked.join(buckets_of(keys, key), "_bucket", "left_anti").select("_row")
-    rest = marked.join(buckets_of(keys, key), "_bucket", "left_semi").join(keys.select(F.col(key).alias("_key")).distinct(), "_key", "left_anti").select("_row")
-    return unboxed(sure.unionByName(rest), df.columns)
+def without(df: DataFrame, keys: DataFrame, **on: Column) -> DataFrame:
+    """df without the rows whose key is in keys. on: names of keys' columns and what they are held against in df. Only
+    rows that may have such a key are shuffled. Rows with a null in the key stay."""
+    names = list(on)
+    keys = keys.select(*names).na.drop()
+    row, bit = _cell([F.col(f"_k_{n}") for n in names])
+    marked = boxed(df, **{f"_k_{n}": c for n, c in on.items()}).withColumn("_cell", row).withColumn("_bit", bit).join(key_filter(keys, *names), "_cell", "left")
+    maybe = F.coalesce(F.col("_bits").bitwiseAND(F.col("_bit")) != 0, F.lit(False))
+    gone = keys.distinct().select(*[F.col(n).alias(f"_k_{n}") for n in names])
+    rest = marked.filter(maybe).join(gone, [f"_k_{n}" for n in names], "left_anti")
+    return unboxed(marked.filter(~maybe).select("_row").unionByName(rest.select("_row")), df.columns)
 
 
 def crc_mod(doc_id: Column, n: int) -> Column:

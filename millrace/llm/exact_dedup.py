@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, boxed, bucket, buckets_of, discard, staged, unboxed, without
+from .common import SPACE, boxed, discard, key_filter, passing, released, staged, unboxed, without
 from .exchange import owners_of, repeated, with_replies
 
 BLOCK_ROWS = 8192
@@ -80,13 +80,13 @@ def exact_duplicates(docs: DataFrame, bits: int = 48) -> DataFrame:
         raise ValueError("bits must be 1 to 48")
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), normalised(F.col("text")).alias("text"))
     prints = text.select("doc_id", fingerprint(F.col("text"), bits).alias("fp"), F.unhex(F.sha2(F.col("text"), 256)).alias("sha"))
-    blocks = staged(prints.mapInArrow(_pack, BLOCKS), "blocks")
+    blocks = staged(prints.mapInArrow(released(_pack), BLOCKS), "blocks")
     owners = owners_of(blocks)
-    marked = staged(with_replies(blocks, owners, bits).mapInArrow(_mark(bits, owners), "doc_id long, row string, fp long, text_sha256 string, suspect boolean"), "rows")
+    marked = staged(with_replies(blocks, owners, bits).mapInArrow(released(_mark(bits, owners)), "doc_id long, row string, fp long, text_sha256 string, suspect boolean"), "rows")
     discard(blocks)
     suspects = marked.filter("suspect")
-    # the scan passes suspects' buckets only; equal fingerprints, digests and bytes make a class
-    wanted = text.withColumn("fp", fingerprint(F.col("text"), bits)).withColumn("_bucket", bucket(F.col("fp"))).join(buckets_of(suspects, "fp"), "_bucket", "left_semi")
+    # the scan passes what may be a suspect; equal fingerprints, digests and bytes make a class
+    wanted = passing(text.withColumn("fp", fingerprint(F.col("text"), bits)), key_filter(suspects, "fp"), F.col("fp"))
     classes = (
         wanted.groupBy("fp", "text")
         .agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
@@ -113,14 +113,13 @@ def exact_duplicates(docs: DataFrame, bits: int = 48) -> DataFrame:
 def drop_duplicates(docs: DataFrame, bits: int = 48) -> DataFrame:
     """docs without the rows that exact_duplicates drops; all columns as they were."""
     found = staged(exact_duplicates(docs, bits), "exact")
-    dropped = found.filter("not kept")
+    dropped = found.filter("not kept").select("doc_id").distinct()
     # an id of a dropped row may also be that of a row that stays: such ids are settled by id and text
-    shared = dropped.filter(F.col("doc_id").isNull() | F.col("doc_id").eqNullSafe(F.col("keep_id"))).select("doc_id").distinct()
-    plain = dropped.filter(F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    stay = without(docs, plain, "doc_id").filter(F.col("doc_id").isNotNull())
+    shared = dropped.join(found.filter("kept").select("doc_id").distinct(), "doc_id", "left_semi")
+    stay = without(docs, dropped, doc_id=F.col("doc_id").cast("long")).filter(F.col("doc_id").isNotNull())
     key, sha = F.col("doc_id").cast("long"), F.sha2(normalised(F.col("text")), 256)
     mixed = boxed(docs, _key=key, _sha=sha)
-    ids = shared.filter("doc_id is not null").select(F.col("doc_id").alias("_key"))
+    ids = shared.select(F.col("doc_id").alias("_key"))
     mixed = mixed.filter("_key is null").unionByName(mixed.join(ids, "_key", "left_semi").select("_row", "_key", "_sha")).dropDuplicates(["_key", "_sha"])
     kept = found.filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_kept")).distinct()
     again = mixed.join(kept, mixed["_key"].eqNullSafe(kept["_id"]) & (mixed["_sha"] == kept["_kept"]), "left_semi")

@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import released, released_group
+
 BITS = 48
 REPLIES = "array<struct<owner: int, bitmap: binary>>"
 
@@ -71,8 +73,8 @@ def owners_of(blocks: DataFrame) -> int:
 
 def with_replies(blocks: DataFrame, owners: int, bits: int = BITS) -> DataFrame:
     """blocks (block, prints: little-endian 64-bit fingerprints below 2^bits, ...) with the owners' replies."""
-    sent = blocks.select("block", "prints").mapInArrow(_send(owners, bits), "owner int, block string, codes binary")
-    replies = sent.groupBy("owner").applyInArrow(_own, "owner int, block string, bitmap binary")
+    sent = blocks.select("block", "prints").mapInArrow(released(_send(owners, bits)), "owner int, block string, codes binary")
+    replies = sent.groupBy("owner").applyInArrow(released_group(_own), "owner int, block string, bitmap binary")
     return blocks.join(replies.groupBy("block").agg(F.collect_list(F.struct("owner", "bitmap")).alias("replies")), "block")
 
 

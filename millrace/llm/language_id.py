@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, small_batches
+from .common import crc_mod, released, staged_small
 from .packing import chunks, raw_texts
 from .wordhash import mix
 
@@ -117,10 +117,8 @@ class Filters:
 
 def train(docs: DataFrame) -> Filters | None:
     """Filters of the languages of docs (text lower-cased, lang); counts cover all of docs."""
-    counts = docs.filter("lang is not null and text is not null").select("lang", "text").mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    from .common import staged
-
-    counts = staged(counts, "grams")
+    counts = docs.filter("lang is not null and text is not null").select("lang", "text").mapInArrow(released(_count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = staged_small(counts, "grams")
     sizes = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     if not sizes:
         return None
@@ -137,7 +135,6 @@ def train(docs: DataFrame) -> Filters | None:
 def identify(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score for every document; training rows are those whose crc32(doc_id) mod 3 isn't 1."""
     spark = docs.sparkSession
-    small_batches(spark)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower("text").alias("text"), F.col("lang").cast("string").alias("lang"))
     held_out = F.coalesce(crc_mod(F.col("doc_id"), 3) == 1, F.lit(False))
     model = train(source.filter(~held_out))
@@ -150,5 +147,5 @@ def identify(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"doc_id": t["doc_id"].combine_chunks(), "lang_pred": [p if x else "und" for p, x in zip(pred, letter.tolist())], "score": pa.array(np.where(letter, score, 0.0))})
 
     letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letter")
-    out = source.select("doc_id", "text", letter).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    out = staged_small(source.select("doc_id", "text", letter).mapInArrow(released(run), "doc_id long, lang_pred string, score double"), "languages")
     return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import released, staged_small
 from .packing import chunks, raw_texts
 
 ROW = 64
@@ -217,21 +217,19 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def text_media(docs: DataFrame) -> DataFrame:
     """Each text as media, stored, read back and described."""
-    small_batches(docs.sparkSession)
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, media_type string, feature string"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_describe, schema)
+    return staged_small(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(released(_describe), schema), "media")
 
 
 def correct_types(df: DataFrame, blob: str, declared: str) -> DataFrame:
     """df's columns as the struct `row`, with media_type (validated; null if none), type_ok (the declared one agrees)
     and carved: array of embedded media (type, offset, length, bytes)."""
-    small_batches(df.sparkSession, 32)
     rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(blob).alias("blob"))
     schema = f"row {rows.schema['row'].dataType.simpleString()}, media_type string, carved array<struct<type: string, offset: long, length: long, bytes: binary>>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("type", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("bytes", pa.binary())]))
-        for b in batches:
+        for b in (b.slice(i, 32) for b in batches for i in range(0, b.num_rows, 32)):
             kinds, carved = [], []
             for x in b["blob"].to_pylist():
                 found = sniff(x)
@@ -242,4 +240,4 @@ def correct_types(df: DataFrame, blob: str, declared: str) -> DataFrame:
                 carved.append([{"type": f.kind, "offset": f.offset, "length": f.length, "bytes": x[f.offset : f.offset + f.length]} for f in sorted([f for f in found if f.offset] + inner, key=lambda f: f.offset)])
             yield pa.RecordBatch.from_arrays([b["row"], pa.array(kinds, pa.string()), pa.array(carved, kind)], names=["row", "media_type", "carved"])
 
-    return rows.mapInArrow(run, schema).withColumn("type_ok", F.col("row").getField(declared).eqNullSafe(F.col("media_type")))
+    return rows.mapInArrow(released(run), schema).withColumn("type_ok", F.col("row").getField(declared).eqNullSafe(F.col("media_type")))

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bucket, buckets_of, discard, small_batches, staged, without
+from .common import discard, key_filter, passing, released, released_group, small_batches, staged, without
 from .components import components
 from .exchange import BITS, owners_of, repeated, with_replies
 from .packing import chunks, raw_texts
@@ -338,15 +338,20 @@ def _tasks(tasks: int):
 
 
 def jaccard_join(docs: DataFrame, width: int = 3, percent: int = 90, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Per row of docs: doc_id, n_shingles, component_id, n_links (documents at percent / 100 similarity or more)."""
+    """Per row of docs: doc_id, n_shingles, component_id, n_links (documents at percent / 100 similarity or more),
+    text_hash."""
+    with small_batches(docs.sparkSession):
+        return _join_documents(docs, width, percent, block_rows)
+
+
+def _join_documents(docs: DataFrame, width: int, percent: int, block_rows: int) -> DataFrame:
     spark = docs.sparkSession
-    small_batches(spark)
     text = F.coalesce(F.col("text"), F.lit(""))
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
     run, schema = _describe(width)
-    both = staged(source.mapInArrow(run, schema), "sets")
+    both = staged(source.mapInArrow(released(run), schema), "sets")
     table = both.filter("slice is null").drop("slice", "counts")
-    slices = both.filter("slice is not null").select("slice", "counts").groupBy("slice").applyInArrow(_add_slices, "slice int, levels binary").collect()
+    slices = both.filter("slice is not null").select("slice", "counts").groupBy("slice").applyInArrow(released_group(_add_slices), "slice int, levels binary").collect()
     levels = np.zeros(1 << SKETCH_BITS, np.uint64)
     for r in slices:  # 2 ^ SKETCH_BITS bytes in all, however large the input
         levels[r["slice"] << (SKETCH_BITS - SLICES.bit_length() + 1) : (r["slice"] + 1) << (SKETCH_BITS - SLICES.bit_length() + 1)] = np.frombuffer(r["levels"], np.uint8)
@@ -356,9 +361,9 @@ def jaccard_join(docs: DataFrame, width: int = 3, percent: int = 90, block_rows:
     )
     # classes that share a shingle of their prefixes, by way of the shingle's smallest class
     run, schema = _prefixes(width, percent, spark.sparkContext.broadcast(levels))
-    blocks = staged(source.select("text").mapInArrow(run, schema), "prefixes")
+    blocks = staged(source.select("text").mapInArrow(released(run), schema), "prefixes")
     owners = owners_of(blocks)
-    found = staged(with_replies(blocks, owners).mapInArrow(_shared(owners), "g long, d1 long, least long").distinct(), "shared")
+    found = staged(with_replies(blocks, owners).mapInArrow(released(_shared(owners)), "g long, d1 long, least long").distinct(), "shared")
     discard(blocks)
     # of the c fingerprints that a set has left, the c - least + 1 rarest hold one of each linked set's
     rarity = found.groupBy("g").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
@@ -383,25 +388,27 @@ def jaccard_join(docs: DataFrame, width: int = 3, percent: int = 90, block_rows:
     found = found.join(bands, ["comp", "band"], "left").drop("n")
     found = staged(found, "wanted")
     # texts of candidates only, by a pre-filter of bounded size and then exactly
-    scan = source.withColumn("_bucket", bucket(F.col("th"))).join(buckets_of(found, "th"), "_bucket", "left_semi").drop("_bucket")
+    scan = passing(source, key_filter(found, "th"), F.col("th"))
     wanted = scan.withColumnRenamed("doc_id", "_id").join(found, "th").filter(F.col("_id").eqNullSafe(F.col("doc_id"))).select("node", "comp", "copies", "large", "band", "blocks", "up", "down", "text")
-    sets = wanted.mapInArrow(_with_sets(width), "node long, comp long, copies long, large boolean, band int, blocks int, up int, down int, shingles binary")
+    sets = wanted.mapInArrow(released(_with_sets(width)), "node long, comp long, copies long, large boolean, band int, blocks int, up int, down int, shingles binary")
     dealt = sets.withColumn("task", F.explode(_tasks(tasks))).select(F.col("task.key").alias("key"), "node", F.col("task.group").alias("comp"), "copies", F.col("task.side").alias("side"), "shingles")
     run, schema = _join(percent)
-    links = staged(dealt.groupBy("key").applyInArrow(run, schema), "links")
+    links = staged(dealt.groupBy("key").applyInArrow(released_group(run), schema), "links")
     roots = components(links.select(F.col("node").alias("a"), F.col("other").alias("b")))
     counted = links.groupBy("node").agg(F.sum("links").alias("links"))
     member = classes.join(roots, "node").join(counted, "node")
     lowest = member.groupBy("root").agg(F.min("low").alias("lowest"))
     member = member.join(lowest, "root").select("node", "lowest", "links")
     told = classes.join(member, "node", "left").select("d1", "d2", "n", F.coalesce("lowest", "low").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    out = table.select("doc_id", "n", "d1", "d2").join(told, ["d1", "d2", "n"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    out = table.select("doc_id", "th", "n", "d1", "d2").join(told, ["d1", "d2", "n"], "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.col("th").alias("text_hash"))
 
 
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """docs with one document of each group of linked ones: the one that the group is named after.
 
-    Documents without words stay, as do rows with a null id; of rows that repeat an id and are copies, all stay or go."""
+    Documents without words stay, as do rows with a null id; rows that repeat an id are told apart by their texts, and
+    of rows that repeat both, all stay or go."""
     found = staged(jaccard_join(docs, width, percent), "near")
-    return without(docs, found.filter("doc_id <> component_id"), "doc_id")
+    text = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    return without(docs, found.filter("doc_id <> component_id"), doc_id=F.col("doc_id").cast("long"), text_hash=text)

@@ -24,12 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bucket, buckets_of, small_batches, staged
+from .common import give_back, key_filter, passing, released, staged, staged_small
 from .wordhash import LOWER, joined, per_text, words
 
 WINDOW, END = 4096, 2
-CHUNK = 4 << 20
-_LOADED: dict = {}
+CHUNK = 2 << 20
+AT_ONCE = 16  # groups of words that the tokenizer gets at a time, which bounds what it holds
 
 
 #: Letters (1) and punctuation (2) of ASCII between which the tokenizer's pattern always splits; the apostrophe isn't
@@ -41,7 +41,7 @@ SENTINEL = "\x01"
 
 
 class _Coder:
-    """Ids of words by their hash, with a bounded memory of those already seen by this process."""
+    """Ids of words by their hash, with a bounded memory of those already seen by this task. It goes with the task: workers are kept by executors."""
 
     REMEMBER = 400_000
 
@@ -58,9 +58,8 @@ class _Coder:
         one = self.tokenizer.encode_batch_fast
         groups = [distinct[i : i + 500] for i in range(0, len(distinct), 500)]
         flat, sizes = [], []
-        coded = one([f" {SENTINEL} ".join(g) for g in groups], add_special_tokens=False)
-        for g, e in zip(groups, coded):
-            ids = np.array(e.ids, np.uint32)
+        coded = (np.array(e.ids, np.uint32) for i in range(0, len(groups), AT_ONCE) for e in one([f" {SENTINEL} ".join(g) for g in groups[i : i + AT_ONCE]], add_special_tokens=False))
+        for g, ids in zip(groups, coded):
             cuts = np.flatnonzero(ids == self.sentinel[0]) if len(self.sentinel) == 1 else np.zeros(0, np.int64)
             if len(cuts) != len(g) - 1:  # a word holds the sentinel itself
                 alone = [x.ids for x in one(g, add_special_tokens=False)]
@@ -93,11 +92,9 @@ class _Coder:
         return begins, sizes, every
 
 
-def token_ids(texts: list[bytes], tokenizer: str) -> Iterator[np.ndarray]:
+def token_ids(texts: list[bytes], coder: _Coder) -> Iterator[np.ndarray]:
     """The ids of each text and END. White space separates tokens, and case doesn't matter to this kind of tokenizer,
     so each distinct word is encoded once."""
-    if tokenizer not in _LOADED:
-        _LOADED[tokenizer] = _Coder(tokenizer)
     buf, offsets = joined(texts)
     starts, ends, hashes = words(buf, LOWER, KINDS)
     bounds = per_text(starts, offsets)
@@ -105,7 +102,7 @@ def token_ids(texts: list[bytes], tokenizer: str) -> Iterator[np.ndarray]:
     first = np.empty(len(distinct), np.int64)
     first[back[::-1]] = np.arange(len(back))[::-1]
     raw = buf.tobytes()
-    begins, sizes, flat = _LOADED[tokenizer].look_up(distinct, lambda at: [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[first[at]].tolist(), ends[first[at]].tolist())])
+    begins, sizes, flat = coder.look_up(distinct, lambda at: [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[first[at]].tolist(), ends[first[at]].tolist())])
     per_word = sizes[back]
     upto = np.concatenate([[0], np.cumsum(per_word)])
     ids = flat[np.repeat(begins[back] - upto[:-1], per_word) + np.arange(upto[-1])] if len(flat) else flat
@@ -115,28 +112,26 @@ def token_ids(texts: list[bytes], tokenizer: str) -> Iterator[np.ndarray]:
 
 
 def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = CHUNK) -> Iterator[pa.Table]:
-    """Batches joined until their texts reach a size; what a chunk has freed goes back to the system."""
+    """Batches joined, or cut by rows, until their texts reach a size; what a chunk has freed goes back to the system."""
+    pa.set_memory_pool(pa.system_memory_pool())
     held, n = [], 0
-    for b in batches:
+    for b in _cut(batches, column, size):
         held.append(b)
         n += b.column(column).nbytes
         if n >= size:
             t, held, n = pa.Table.from_batches(held), [], 0
             yield t
             del t
-            _trim()
+            give_back()
     if held:
         yield pa.Table.from_batches(held)
-        _trim()
-
+        give_back()
 
-def _trim() -> None:
-    """Executors count the memory that malloc keeps; only glibc has this call."""
-    import ctypes
 
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim:
-        trim(0)
+def _cut(batches: Iterator[pa.RecordBatch], column: str, size: int) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        step = max(1, int(b.num_rows * size / max(1, b.column(column).nbytes)))
+        yield from (b.slice(i, step) for i in range(0, b.num_rows, step))
 
 
 def raw_texts(t: pa.Table, column: str = "text") -> list[bytes]:
@@ -149,10 +144,11 @@ def _items(tokenizer: str, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, full, seen = TaskContext.get().partitionId(), 0, np.zeros(window, np.int64)
+        part, full, seen, coder = TaskContext.get().partitionId(), 0, np.zeros(window, np.int64), None
         for t in chunks(batches):
+            coder = coder or _Coder(tokenizer)
             tokens, before, item, rank, crcs = [], [], [], [], []
-            for ids in token_ids(raw_texts(t), tokenizer):
+            for ids in token_ids(raw_texts(t), coder):
                 n, rest = len(ids), len(ids) % window
                 raw = ids.tobytes()
                 tokens.append(n)
@@ -254,12 +250,10 @@ PLAN = "item int, rank_from long, rank_to long, start long, length long, index_f
 
 def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
-    spark = docs.sparkSession
-    small_batches(spark)
     text = F.coalesce(F.col("text"), F.lit(""))
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h1"), F.xxhash64(text, F.lit(1)).alias("h2"))
     run, schema = _items(tokenizer, window)
-    items = staged(source.mapInArrow(run, schema), "items")
+    items = staged_small(source.mapInArrow(released(run), schema), "items")
     counts = items.groupBy("part", "item").agg(F.count(F.lit(1)).alias("n"), F.sum(F.floor(F.col("tokens") / window)).alias("full"))
     counts = staged(counts, "counts")
     histogram = {r["item"]: r["n"] for r in counts.filter("item > 0").groupBy("item").agg(F.sum("n").alias("n")).collect()}
@@ -278,7 +272,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW) -> DataFrame:
     ranked = items.filter("item > 0").join(ranks, ["part", "item"]).withColumn("rank", F.col("rank") + F.col("rank_base"))
     at = F.col("index_from") + F.col("rank") - F.col("rank_from")
     placed = (
-        ranked.mapInArrow(_locate(plan), f"{_RANKED}, {PLAN.replace('item int, ', '')}")
+        ranked.mapInArrow(released(_locate(plan)), f"{_RANKED}, {PLAN.replace('item int, ', '')}")
         .withColumn("i", at)
         .select("doc_id", "h1", "h2", "item", "crcs", "tokens", "start", "length", (F.col("sequence") + F.floor(F.col("i") / F.col("per_bin"))).alias("sequence_id"), (F.col("offset") + F.col("length") * F.pmod("i", "per_bin")).alias("offset"))
         .withColumn("first", F.col("tokens") - F.col("item"))
@@ -288,9 +282,9 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW) -> DataFrame:
     whole = placed.filter("length = item").withColumn("ids_crc32", _crc(F.floor(F.col("tokens") / window))).select(*out)
     cut = placed.filter("length < item")
     spans = cut.select("h1", "h2", F.struct((F.col("first") + F.col("start")).alias("a"), "length").alias("span")).distinct().groupBy("h1", "h2").agg(F.collect_list("span").alias("spans"))
-    again = source.withColumn("_bucket", bucket(F.col("h1"))).join(buckets_of(spans, "h1"), "_bucket", "left_semi").drop("_bucket")
-    crcs = again.select("h1", "h2", "text").join(spans, ["h1", "h2"]).mapInArrow(_cut_crcs(tokenizer), "h1 long, h2 long, a long, length long, ids_crc32 long")
-    crcs = crcs.groupBy("h1", "h2", "a", "length").agg(F.max("ids_crc32").alias("ids_crc32"))
+    again = passing(source, key_filter(spans, "h1"), F.col("h1"))
+    crcs = again.select("h1", "h2", "text").join(spans, ["h1", "h2"]).mapInArrow(released(_cut_crcs(tokenizer)), "h1 long, h2 long, a long, length long, ids_crc32 long")
+    crcs = staged_small(crcs.groupBy("h1", "h2", "a", "length").agg(F.max("ids_crc32").alias("ids_crc32")), "crcs")
     pieces = cut.withColumn("a", F.col("first") + F.col("start")).join(crcs, ["h1", "h2", "a", "length"]).select(*out)
     return full.unionByName(whole).unionByName(pieces)
 
@@ -337,9 +331,10 @@ def _locate(plan: list[tuple]):
 
 def _cut_crcs(tokenizer: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = None
         for t in chunks(batches):
-            rows = []
-            for h1, h2, spans, ids in zip(t["h1"].to_pylist(), t["h2"].to_pylist(), t["spans"].to_pylist(), token_ids(raw_texts(t), tokenizer)):
+            coder, rows = coder or _Coder(tokenizer), []
+            for h1, h2, spans, ids in zip(t["h1"].to_pylist(), t["h2"].to_pylist(), t["spans"].to_pylist(), token_ids(raw_texts(t), coder)):
                 rows += [(h1, h2, s["a"], s["length"], zlib.crc32(ids[s["a"] : s["a"] + s["length"]].tobytes())) for s in spans]
             cols = list(zip(*rows)) if rows else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["h1", "h2", "a", "length", "ids_crc32"])
