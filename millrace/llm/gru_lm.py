@@ -5,9 +5,12 @@ vectors and a softmax inside their class; every other word, known or not, is in
 bytes, with its share of the corpus counts inside the class. A word's probability is its class's, by the recurrent
 state, times its share of the class. All words have some probability: an unknown word gets a count of 0 + 1.
 
-Training is data-parallel: in each round every scan partition continues from the shared weights on its part of the
-round's training documents by truncated backpropagation, and the weights are averaged by tokens. The rounds deal all
-training documents among them by hash, so each is learnt from once. Scoring runs the documents of a chunk side by side, longest
+Training is data-parallel: training documents are dealt by hash to shards, whose number follows from the number of
+training tokens alone, and to rounds. In each round every shard continues from the shared weights on its documents, in
+the order of a hash, by truncated backpropagation; the weights are averaged by tokens, SHARDS_AT_ONCE shards at a time.
+So each training document is learnt from once, and neither partitions nor the number of executors change the result.
+While training, texts are cut into segments of SEGMENT tokens that start without a state, so that long ones don't run
+alone. Scoring runs the documents of a chunk side by side, longest
 first, window by window; the state goes on from window to window to the end of each text. Counts of words beyond the
 TABLE most frequent are joined by hash, so that no table that grows with the input is broadcast.
 
@@ -26,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, small_batches, staged
+from .common import crc_mod, discard, released, released_group, staged, staged_small
 from .packing import chunks, raw_texts
 from .wordhash import LOWER, joined, per_text, words
 
@@ -36,7 +39,9 @@ FIRST = HEAD + TAILS  # input before the first word
 TABLE = 1 << 20
 END_HASH = np.uint64(1)
 ROUNDS = 3
-LANES, WINDOW, RATE = 32, 16, 0.01
+LANES, WINDOW, RATE = 128, 16, 0.01
+SHARD_TOKENS, SHARDS_AT_ONCE = 1 << 20, 16
+SEGMENT, UNIT = 2048, 1 << 20  # tokens of a lane; bytes of text learnt from at a time
 
 
 def _last_two(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -97,6 +102,20 @@ class Vocabulary:
         return count, rank, np.where(rank >= 0, rank // MEMBERS, HEAD // MEMBERS + k.tails)
 
 
+class Head:
+    """What training needs of a vocabulary: the ranks of the most frequent words."""
+
+    def __init__(self, v: Vocabulary):
+        own = np.flatnonzero(v.rank >= 0)
+        self.hashes, self.rank = v.hashes[own], v.rank[own]
+
+    def ranks(self, hashes: np.ndarray) -> np.ndarray:
+        if not len(self.hashes):
+            return np.full(len(hashes), -1)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == hashes, self.rank[at], -1)
+
+
 def start_weights(v: Vocabulary, seed: int = 3) -> dict[str, np.ndarray]:
     """Random, but for biases that make the first model that of the word counts."""
     rng = np.random.default_rng(seed)
@@ -143,15 +162,18 @@ def _train_window(inputs: np.ndarray, cls: np.ndarray, rank: np.ndarray, live: n
     g = {"out": x.T @ p, "out_bias": p.sum(axis=0), "member": np.zeros_like(w["member"]), "member_bias": np.zeros_like(w["member_bias"])}
     dx = p @ w["out"].T
     inside = np.flatnonzero(m >= 0)
-    order = inside[np.argsort(c[inside], kind="stable")]
-    for rows in np.split(order, np.flatnonzero(np.diff(c[order])) + 1):
-        if len(rows):
-            k = c[rows[0]]
-            q = np.exp(_log_softmax(x[rows] @ w["member"][k].T + w["member_bias"][k]))
-            q[np.arange(len(rows)), m[rows] % MEMBERS] -= 1
-            q /= total
-            g["member"][k], g["member_bias"][k] = q.T @ x[rows], q.sum(axis=0)
-            dx[rows] += q @ w["member"][k]
+    if len(inside):
+        order = inside[np.argsort(c[inside], kind="stable")]
+        own, k = x[order], c[order]
+        table = w["member"][k]
+        q = np.exp(_log_softmax(np.matmul(table, own[:, :, None])[:, :, 0] + w["member_bias"][k]))
+        q[np.arange(len(q)), m[order] % MEMBERS] -= 1
+        q /= total
+        dx[order] += np.matmul(q[:, None, :], table)[:, 0]
+        heads = np.concatenate([[0], np.flatnonzero(np.diff(k)) + 1])
+        g["member_bias"][k[heads]] = np.add.reduceat(q, heads, axis=0)
+        for i, j in zip(heads.tolist(), [*heads[1:].tolist(), len(k)]):
+            g["member"][k[i]] = q[i:j].T @ own[i:j]
     ds = np.zeros_like(s)
     ds[live] = dx
     dgates, dh = np.empty_like(gates), np.zeros_like(h)
@@ -174,33 +196,35 @@ def _train_window(inputs: np.ndarray, cls: np.ndarray, rank: np.ndarray, live: n
 
 
 class Trainer:
-    """Adam on truncated windows; state carries over from window to window of a text."""
+    """Adam on truncated windows; state carries over from window to window of a segment."""
 
-    def __init__(self, w: dict, v: Vocabulary):
-        self.w, self.v, self.tokens, self.n = {k: x.copy() for k, x in w.items()}, v, 0, 0
+    def __init__(self, w: dict, head: Head):
+        self.w, self.head, self.tokens, self.n = {k: x.copy() for k, x in w.items()}, head, 0, 0
         self.first, self.second = ({k: np.zeros_like(x) for k, x in w.items()} for _ in range(2))
 
     def learn(self, texts: list[bytes]) -> None:
         k = Tokens(texts)
-        _, rank, cls = self.v.look_up(k)
-        given = np.where(rank >= 0, rank, HEAD + k.tails)
-        sizes = np.diff(k.bounds)
+        rank = self.head.ranks(k.hashes)
+        cls = np.where(rank >= 0, rank // MEMBERS, HEAD // MEMBERS + k.tails)
+        given = np.where(rank >= 0, rank, HEAD + k.tails)[k.index]
+        before = np.concatenate([[FIRST], given[:-1]])
+        before[k.bounds[:-1]] = FIRST
+        cuts = [np.arange(a, b, SEGMENT) for a, b in zip(k.bounds[:-1].tolist(), k.bounds[1:].tolist())]
+        starts = np.concatenate(cuts)
+        sizes = np.minimum(np.repeat(k.bounds[1:], [len(c) for c in cuts]) - starts, SEGMENT)
         order = np.argsort(-sizes, kind="stable")
         for lanes in np.array_split(order, max(1, -(-len(order) // LANES))):
             h = np.zeros((len(lanes), HIDDEN), np.float32)
-            at = k.bounds[lanes][None, :]
-            for t in range(0, int(sizes[lanes].max()), WINDOW):
+            for t in range(0, int(sizes[lanes[0]]), WINDOW):
+                alive = int(np.searchsorted(-sizes[lanes], -t, "left"))  # longest first
+                lanes, h = lanes[:alive], h[:alive]
                 time = np.arange(t, t + WINDOW)[:, None]
                 live = time < sizes[lanes]
-                now = k.index[np.where(live, at + time, 0)]
-                before = given[k.index[np.where(live & (time > 0), at + time - 1, 0)]]
-                g, h = _train_window(np.where(time > 0, before, FIRST), cls[now], rank[now], live, h, self.w)
+                at = np.where(live, starts[lanes] + time, starts[lanes])
+                now = k.index[at]
+                g, h = _train_window(before[at], cls[now], rank[now], live, h, self.w)
                 self.tokens += int(live.sum())
                 self._update(g)
-                alive = sizes[lanes] > t + WINDOW
-                lanes, h, at = lanes[alive], h[alive], at[:, alive]
-                if not len(lanes):
-                    break
 
     def _update(self, g: dict) -> None:
         self.n += 1
@@ -272,14 +296,16 @@ def _unblob(blob: bytes, like: dict) -> dict:
 
 
 def _mean(t: pa.Table) -> pa.Table:
-    n = np.array(t["tokens"].to_pylist(), float)
-    total = sum(np.frombuffer(b.as_py(), "<f4") * x for b, x in zip(t["blob"], n)) / max(1.0, n.sum())
-    return pa.table({"blob": [total.astype("<f4").tobytes()], "tokens": pa.array([int(n.sum())], pa.int64())})
+    t = t.sort_by("shard")
+    total, n = 0.0, 0
+    for blob, tokens in zip(t["blob"], t["tokens"].to_pylist()):
+        total, n = total + np.frombuffer(blob.as_py(), "<f4").astype(float) * tokens, n + tokens
+    return pa.table({"shard": pa.array([t["shard"][0].as_py() // SHARDS_AT_ONCE], pa.int64()), "blob": [(total / max(1, n)).astype("<f4").tobytes()], "tokens": pa.array([n], pa.int64())})
 
 
 def vocabulary(train: DataFrame) -> tuple[Vocabulary, DataFrame]:
     """The vocabulary of train (text), and its counts (h, n) of every word."""
-    counts = staged(train.mapInArrow(_count, "h long, tail int, n long").groupBy("h").agg(F.sum("n").alias("n"), F.min("tail").alias("tail")), "words")
+    counts = staged_small(train.mapInArrow(released(_count), "h long, tail int, n long").groupBy("h").agg(F.sum("n").alias("n"), F.min("tail").alias("tail")), "words")
     # as many of the most frequent words as TABLE holds, by a histogram of a few hundred steps
     step = F.floor(F.log2("n") * 8)
     histogram = counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("words"), F.sum("n").alias("n")).orderBy(F.desc("step")).collect()
@@ -296,37 +322,61 @@ def vocabulary(train: DataFrame) -> tuple[Vocabulary, DataFrame]:
     return Vocabulary(kept["h"].to_numpy().view(np.uint64), kept["n"].to_numpy(), kept["tail"].to_numpy(), total, distinct, sums), counts
 
 
+WEIGHTS = "shard long, blob binary, tokens long"
+
+
+def _train_shards(shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come by shard: each shard starts from the shared weights. Texts are learnt from UNIT bytes at a time,
+    wherever batches end."""
+    w, head = shared.value
+    shard, trainer, held, size = None, None, [], 0
+
+    def result() -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int64()), "blob": [_blob(trainer.w)], "tokens": pa.array([trainer.tokens], pa.int64())})
+
+    for t in chunks(batches):
+        for own, text in zip(t["shard"].to_pylist(), raw_texts(t)):
+            if held and (own != shard or size >= UNIT):
+                trainer.learn(held)
+                held, size = [], 0
+            if own != shard:
+                if trainer:
+                    yield result()
+                shard, trainer = own, Trainer(w, head)
+            held.append(text)
+            size += len(text) + 1
+    if trainer:
+        trainer.learn(held)
+        yield result()
+
+
 def train_model(train: DataFrame, v: Vocabulary) -> dict:
-    """Weights after ROUNDS of local training and averaging, each on its part of train (key, text)."""
+    """Weights after ROUNDS of training by shards and averaging, each on its part of train (doc_id, text)."""
     spark = train.sparkSession
-    w = start_weights(v)
-    turn = F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(ROUNDS))
-    vocab = spark.sparkContext.broadcast(v)
+    w, head = start_weights(v), Head(v)
+    shards = max(1, -(-v.total // SHARD_TOKENS))
+    key = F.xxhash64("doc_id", "text", F.lit(29))
+    dealt = train.select("text", F.pmod(F.xxhash64("doc_id", "text", F.lit(31)), F.lit(shards)).alias("shard"), F.pmod(key, F.lit(ROUNDS)).alias("turn"), key.alias("key"))
     for i in range(ROUNDS):
-        part = train.filter(turn == i).select("text")
-        shared = spark.sparkContext.broadcast(w)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            from pyspark import TaskContext
-
-            trainer = Trainer(shared.value, vocab.value)
-            for t in chunks(batches):
-                trainer.learn(raw_texts(t))
-            if trainer.tokens:
-                yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int32()), "blob": [_blob(trainer.w)], "tokens": pa.array([trainer.tokens], pa.int64())})
-
-        local = part.mapInArrow(run, "part int, blob binary, tokens long")
-        groups = max(1, int(spark.sparkContext.defaultParallelism ** 0.5))
-        means = local.groupBy(F.pmod("part", F.lit(groups))).applyInArrow(_mean, "blob binary, tokens long").toArrow()
-        if means.num_rows:
-            w = _unblob(_mean(means)["blob"][0].as_py(), w)
+        shared = spark.sparkContext.broadcast((w, head))
+        part = dealt.filter(F.col("turn") == i).repartition("shard").sortWithinPartitions("shard", "key").select("shard", "text")
+        local = staged_small(part.mapInArrow(released(lambda batches, shared=shared: _train_shards(shared, batches)), WEIGHTS), "weights")
+        left = shards
+        while left > SHARDS_AT_ONCE:
+            means = staged(local.groupBy(F.floor(F.col("shard") / SHARDS_AT_ONCE)).applyInArrow(released_group(_mean), WEIGHTS), "weights")
+            discard(local)
+            local, left = means, -(-left // SHARDS_AT_ONCE)
+        last = local.toArrow()
+        discard(local)
+        shared.unpersist()
+        if last.num_rows:
+            w = _unblob(_mean(last)["blob"][0].as_py(), w)
     return w
 
 
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every document."""
     spark = docs.sparkSession
-    small_batches(spark)
     held_out = F.coalesce(crc_mod(F.col("doc_id"), 7) == 2, F.lit(False))
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     train = source.filter(~held_out)
@@ -358,7 +408,7 @@ def score(docs: DataFrame) -> DataFrame:
             })
             row += len(sizes)
 
-    scored = staged(source.mapInArrow(run, "doc_id long, row long, n_tokens long, known long, base double, sum double, rest array<struct<h: long, times: long>>"), "scores")
+    scored = staged_small(source.mapInArrow(released(run), "doc_id long, row long, n_tokens long, known long, base double, sum double, rest array<struct<h: long, times: long>>"), "scores")
     # words beyond the table: their counts by a join on the hash
     rare = scored.select("row", F.explode("rest").alias("x")).select("row", "x.h", "x.times").join(counts.select("h", "n"), "h")
     found = rare.groupBy("row").agg(F.sum("times").alias("more_known"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("more"))
