@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .exact_dedup import exact_duplicates
 from .gru_lm import score
 from .language_id import identify
-from .license_scan import scan
+from .license_scan import scan, scan_sql
 from .line_dedup import dedup_report
 from .media_columns import text_media
 from .mixing import mix_report
@@ -85,4 +85,5 @@ ORACLE: dict[str, str] = {
         SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
                doc_id = min(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
         FROM d""",
+    "op10_license_scan": scan_sql(),
 }
