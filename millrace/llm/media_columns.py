@@ -142,20 +142,28 @@ def _ogg(b: bytes, at: int) -> Found | None:
 
 
 def _pdf(b: bytes, at: int) -> Found | None:
+    """To the last end mark of the file: revisions after the first bring a cross-reference and an end mark each."""
     end = b.find(b"%%EOF", at)
-    return Found("application/pdf", at, end + 5 - at, at, end + 5 - at) if end >= 0 and b.find(b"startxref", at, end) >= 0 else None
+    if end < 0 or b.find(b"startxref", at, end) < 0:
+        return None
+    while (later := b.find(b"%%EOF", end + 5)) >= 0 and b.find(b"startxref", end, later) >= 0 and b.find(b"%PDF-", end, later) < 0:
+        end = later
+    return Found("application/pdf", at, end + 5 - at, at, end + 5 - at)
 
 
 def _zip(b: bytes, at: int) -> Found | None:
+    """To the end record whose directory lies where it says; an archive stored inside has end records of its own."""
     end = b.find(b"PK\x05\x06", at)
-    if end < 0 or end + 22 > len(b):
-        return None
-    size, offset, note = struct.unpack_from("<IIH", b, end + 12)
-    if at + offset + size != end or end + 22 + note > len(b):
-        return None
-    return Found("application/zip", at, end + 22 + note - at, at, end + 22 + note - at)
+    while 0 <= end <= len(b) - 22:
+        size, offset, note = struct.unpack_from("<IIH", b, end + 12)
+        if at + offset + size == end and end + 22 + note <= len(b):
+            return Found("application/zip", at, end + 22 + note - at, at, end + 22 + note - at)
+        end = b.find(b"PK\x05\x06", end + 1)
+    return None
 
 
+#: Validators that look for an end mark: where a blob has none after a position, its kind isn't tried there.
+END_MARKS = {_pdf: b"%%EOF", _zip: b"PK\x05\x06"}
 MAGIC = {b"RIFF": _wav, b"P5\n": _pgm, b"BM": _bmp, b"\x89PNG\r\n\x1a\n": _png, b"GIF87a": _gif, b"GIF89a": _gif, b"\xff\xd8\xff": _jpeg, b"OggS": _ogg, b"%PDF-": _pdf, b"PK\x03\x04": _zip}
 _AUTOMATON: list = []
 
@@ -172,10 +180,12 @@ def sniff(blob: bytes | None) -> list[Found]:
             a.add_word(m.decode("latin-1"), (len(m), f))
         a.make_automaton()
         _AUTOMATON.append(a)
-    out, free = [], 0
+    out, free, ends = [], 0, {}
     for end, (n, check) in _AUTOMATON[0].iter(blob.decode("latin-1")):
         at = end + 1 - n
-        if at >= free and (x := check(blob, at)):
+        if check in END_MARKS and check not in ends:
+            ends[check] = blob.rfind(END_MARKS[check])
+        if at >= free and at <= ends.get(check, at) and (x := check(blob, at)):
             out.append(x)
             free = at + x.length
     return out

@@ -574,3 +574,17 @@ def test_pipeline_runs_from_end_to_end(spark, sf):
         for (a, n), k in spans.items():
             covered[a : a + n] += k
         assert covered.min() == covered.max() >= 1
+
+
+def test_revised_documents_and_nested_archives():
+    import io
+    import zipfile
+
+    pdf = b"%PDF-1.4\nbody\nstartxref\n9\n%%EOF\nmore\nstartxref\n20\n%%EOF"
+    inner, outer = io.BytesIO(), io.BytesIO()
+    with zipfile.ZipFile(inner, "w") as z:
+        z.writestr("a.txt", "x" * 50)
+    with zipfile.ZipFile(outer, "w", zipfile.ZIP_STORED) as z:
+        z.writestr("in.zip", inner.getvalue())
+    found = media_columns.sniff(b"--" + pdf + b"\n" + outer.getvalue() + b"%PDF-" * 1000)
+    assert [(f.kind, f.length) for f in found] == [("application/pdf", len(pdf)), ("application/zip", len(outer.getvalue()))]
