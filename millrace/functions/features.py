@@ -51,7 +51,7 @@ def features(score: Column, importance: Column, priority: Column, created: Colum
         F.least(F.lit(50), F.coalesce(access, F.lit(0))).cast("double"),
         F.coalesce(same, F.lit(False)).cast("double"),
         weight(F.coalesce(source, F.lit("None")), C.SOURCE, 1.0),
-        F.least(F.lit(1.0), length / 2000.0),
+        F.least(F.lit(1.0), F.coalesce(length.cast("double"), F.lit(0.0)) / 2000.0),
     ]
     return [c.alias(n) for c, n in zip(cols, FEATURES)]
 
