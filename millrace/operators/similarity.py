@@ -18,9 +18,12 @@ def jaccard_pairs(rows: DataFrame, num: int = 3, den: int = 4, window: int | Non
     rarity = tokens.groupBy("t").agg(F.count(F.lit(1)).alias("df"))
     ranked = tokens.join(rarity, "t").withColumn("pos", F.row_number().over(Window.partitionBy("id").orderBy("df", "t")))
     # only tokens that two sets have can make a pair
-    prefix = ranked.filter((F.col("pos") <= F.col("n") - F.ceil(F.col("n") * num / den) + 1) & (F.col("df") > 1)).select("t", "id", "n")
+    prefix = ranked.filter((F.col("pos") <= F.col("n") - F.ceil(F.col("n") * num / den) + 1) & (F.col("df") > 1)).select("t", "id", "n", "pos")
     a, b = prefix.alias("a"), prefix.alias("b")
     fits = (F.col("a.t") == F.col("b.t")) & (F.col("a.id") > F.col("b.id")) & (F.least("a.n", "b.n") * den > F.greatest("a.n", "b.n") * num)
+    # a token at these places leaves at most so many before and after it that both can hold
+    room = F.least("a.pos", "b.pos") + F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos"))
+    fits = fits & (room * (num + den) > (F.col("a.n") + F.col("b.n")) * num)
     if window is not None:
         fits = fits & (F.col("a.id") - F.col("b.id") <= window)
     found = a.join(b, fits).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
