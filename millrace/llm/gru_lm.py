@@ -24,7 +24,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -57,6 +56,8 @@ class Tokens:
     """Tokens of texts: index into distinct words (the last one is the end), and each text's bounds."""
 
     def __init__(self, texts: list[bytes]):
+        import pandas as pd  # here, so that workers which never count words don't hold it
+
         buf, offsets = joined(texts)
         starts, ends, hashes = words(buf, LOWER)
         bounds = per_text(starts, offsets)

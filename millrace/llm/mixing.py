@@ -17,7 +17,7 @@ from __future__ import annotations
 import json
 from collections import deque
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -106,13 +106,13 @@ def seeded(doc_id: Column, seed: int) -> Column:
     return F.shiftrightunsigned(F.xxhash64(doc_id, F.lit(seed)), 64 - 2 * LEVEL)
 
 
-def _fit(near: pd.DataFrame) -> pd.DataFrame:
+def _fit(near: pa.Table) -> pa.Table:
     """Hash values go in by order; where one is too large for what is still wanted, later ones that fit go in. A task
     gets sums by hash value of a few buckets: some thousands of rows however many documents there are."""
-    near = near.sort_values("_u")
-    rest, cut, more = int(near["rest"].iloc[0]), int(near["low"].iloc[0]) << LEVEL, []
+    near = near.sort_by("_u")
+    rest, cut, more = near["rest"][0].as_py(), near["low"][0].as_py() << LEVEL, []
     whole, smallest_miss = True, None
-    for u, s in zip(near["_u"].tolist(), near["s"].tolist()):
+    for u, s in zip(near["_u"].to_pylist(), near["s"].to_pylist()):
         if s <= rest:
             rest -= s
             if whole:
@@ -124,7 +124,7 @@ def _fit(near: pd.DataFrame) -> pd.DataFrame:
             smallest_miss = min(smallest_miss or (s, u), (s, u))
     if smallest_miss and smallest_miss[0] < 2 * rest:  # then to overshoot is nearer
         more.append(smallest_miss[1])
-    return pd.DataFrame({"pattern": [near["pattern"].iloc[0]], "cut": [cut], "more": [more]})
+    return pa.table({"pattern": pa.array([near["pattern"][0].as_py()], pa.string()), "cut": pa.array([cut], pa.int64()), "more": pa.array([more], pa.list_(pa.int64()))})
 
 
 class Mixture:
@@ -166,7 +166,7 @@ class Mixture:
         last = F.get(F.filter("later", lambda x: x["n_upto"] >= F.col("e.n_upto") + SPARE), 0)["_b"]
         edge = edge.select("pattern", F.col("e._b").alias("low"), F.coalesce(last, F.lit(1 << LEVEL)).alias("high"), (F.col("want") - F.col("e.before")).alias("rest"))
         near = hashed.join(F.broadcast(edge), "pattern").filter("_b between low and high").groupBy("pattern", "low", "rest", "_u").agg(F.sum("size").alias("s"))
-        cuts = near.groupBy("pattern").applyInPandas(_fit, "pattern string, cut long, more array<long>")
+        cuts = near.groupBy("pattern").applyInArrow(_fit, "pattern string, cut long, more array<long>")
         return staged(plan.join(cuts, "pattern", "left").select("pattern", "base", F.coalesce("cut", F.lit(0)).cast("long").alias("cut"), F.coalesce("more", F.array().cast("array<long>")).alias("more")), "mix")
 
     def repeats(self, docs: DataFrame) -> DataFrame:

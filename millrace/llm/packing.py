@@ -19,7 +19,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,7 +27,7 @@ from .common import give_back, key_filter, passing, released, staged, staged_sma
 from .wordhash import LOWER, joined, per_text, words
 
 WINDOW, END = 4096, 2
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 AT_ONCE = 16  # groups of words that the tokenizer gets at a time, which bounds what it holds
 
 
@@ -98,9 +97,7 @@ def token_ids(texts: list[bytes], coder: _Coder) -> Iterator[np.ndarray]:
     buf, offsets = joined(texts)
     starts, ends, hashes = words(buf, LOWER, KINDS)
     bounds = per_text(starts, offsets)
-    back, distinct = pd.factorize(hashes)
-    first = np.empty(len(distinct), np.int64)
-    first[back[::-1]] = np.arange(len(back))[::-1]
+    distinct, first, back = np.unique(hashes, return_index=True, return_inverse=True)
     raw = buf.tobytes()
     begins, sizes, flat = coder.look_up(distinct, lambda at: [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[first[at]].tolist(), ends[first[at]].tolist())])
     per_word = sizes[back]
