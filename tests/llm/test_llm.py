@@ -511,9 +511,9 @@ def test_key_filter_holds_many_keys(spark):
 
 
 def test_lines_against_brute_force(spark, sf):
-    """Of all pairs of lines with an edit similarity of 0.85 or more (by bytes), found by comparing all with all."""
+    """Of all pairs of lines with an edit similarity of 0.85 or more (by bytes) and under 250 characters, found by comparing all with all."""
     lines = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
-    distinct = line_dedup._distinct(lines).filter("n >= 20 and n < 2000").select("words").distinct().toPandas()
+    distinct = line_dedup._distinct(lines).filter("n >= 20 and n < 250").select("words").distinct().toPandas()
     con = connect(sf)
     con.register("n", distinct)
     sql = "select x.words, y.words from n x join n y on x.words < y.words and abs(strlen(x.words) - strlen(y.words)) <= 0.15 * greatest(strlen(x.words), strlen(y.words)) where levenshtein(x.words, y.words) <= 0.15 * greatest(strlen(x.words), strlen(y.words))"
