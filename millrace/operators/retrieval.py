@@ -51,18 +51,23 @@ def rerank(pool: DataFrame, now: Column, keep: Column | int) -> DataFrame:
     return top(scored, ["query_id"], [F.desc("rank_score"), F.desc("vector_score"), F.asc("id")], keep)
 
 
+def pool(queries: DataFrame, memories: DataFrame, label: str = "complexity") -> DataFrame:
+    """The candidates that a query's complexity lets into its pool, by cosine; with content_length in place of content."""
+    limit = F.lit(0)
+    for k, (*_, size) in C.BUDGET.items():
+        limit = F.when(F.col(label) == k, size).otherwise(limit)
+    # the largest pool as a number lets each task keep that many rows a query; the content is only needed by length
+    most = max(size for *_, size in C.BUDGET.values())
+    small = memories.withColumn("content_length", F.length(F.coalesce("content", F.lit("")))).drop("content")
+    return top(candidates(queries, small), ["query_id"], [F.desc("score"), F.asc("id")], most).filter(F.col("rank") <= limit)
+
+
 def retrieve(queries: DataFrame, memories: DataFrame, now: Column, label: str = "complexity") -> DataFrame:
     """Two limits from the query's complexity: a pool by cosine, then the best of it after reranking."""
-    pool = F.lit(0)
     keep = F.lit(0)
-    for k, (n, _, size) in C.BUDGET.items():
-        pool = F.when(F.col(label) == k, size).otherwise(pool)
+    for k, (n, *_) in C.BUDGET.items():
         keep = F.when(F.col(label) == k, n).otherwise(keep)
-    # the largest pool as a number lets each task keep that many rows a query; the content is only needed by length
-    most = max(size for *_, size in C.BUDGET.values())
-    small = memories.withColumn("content_length", F.length(F.coalesce("content", F.lit("")))).drop("content")
-    found = top(candidates(queries, small), ["query_id"], [F.desc("score"), F.asc("id")], most).filter(F.col("rank") <= pool)
-    kept = rerank(found, now, 10**9)
+    kept = rerank(pool(queries, memories, label), now, 10**9)
     limits = queries.select("query_id", keep.alias("_keep"))
     limits = F.broadcast(limits) if bounded(queries, BROADCAST_QUERIES) else limits
     return kept.join(limits, "query_id").filter(F.col("rank") <= F.col("_keep")).drop("_keep")
