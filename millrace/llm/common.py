@@ -2,51 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.filters import cell as _cell
+from ..functions.filters import key_filter, passing  # noqa: F401
+from ..functions.staging import discard, staged, work_dir  # noqa: F401
+
 #: ASCII white space as the contracts define it, as a Java regular expression class.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
-#: A key filter has this many rows of 64 bits at most, however many keys there are.
-FILTER_ROWS = 1 << 18
-_local: list[str] = []
-
-
-def work_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir. Only where that is unset and everything runs in this one process, as in
-    tests, it is a machine-local one; on a cluster that would lose rows, so there it is an error."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        master = spark.sparkContext.master
-        if not (master == "local" or master.startswith("local[")):
-            raise RuntimeError("spark.checkpoint.dir is unset: intermediate tables need a folder that all executors share")
-        if not _local:
-            _local.append("file://" + tempfile.mkdtemp(prefix="millrace-"))
-        base = _local[0]
-    return f"{base.rstrip('/')}/millrace-{uuid.uuid4().hex}"
-
-
-def staged(df: DataFrame, name: str = "stage") -> DataFrame:
-    """Writes df to the shared folder and reads it back: lineage is cut there, and no executor's loss can undo it."""
-    spark = df.sparkSession
-    path = f"{work_dir(spark)}/{name}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._staged = path
-    return out
-
-
-def discard(*tables: DataFrame) -> None:
-    """Deletes staged tables once everything that was made of them is staged itself."""
-    for df in tables:
-        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._staged)
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path.getParent(), True)
 
 
 @contextmanager
@@ -100,24 +68,6 @@ def released_group(run: Callable) -> Callable:
     return through
 
 
-def _cell(keys: list[Column]) -> tuple[Column, Column]:
-    """Row of a filter that a key belongs to, and the key's bit there."""
-    h = F.xxhash64(*keys)
-    return F.shiftrightunsigned(h, 64 - (FILTER_ROWS.bit_length() - 1)).cast("int"), F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
-
-
-def key_filter(keys: DataFrame, *names: str) -> DataFrame:
-    """The hashed keys as FILTER_ROWS * 64 bits, for broadcast: its size doesn't grow with the number of keys."""
-    row, bit = _cell([F.col(n) for n in names])
-    return F.broadcast(keys.select(row.alias("_cell"), bit.alias("_bit")).groupBy("_cell").agg(F.bit_or("_bit").alias("_bits")))
-
-
-def passing(df: DataFrame, held: DataFrame, *keys: Column) -> DataFrame:
-    """Rows of df whose key may be in the filter; all that are in it, and some that aren't."""
-    row, bit = _cell(list(keys))
-    return df.withColumn("_cell", row).withColumn("_bit", bit).join(held, "_cell").filter(F.col("_bits").bitwiseAND(F.col("_bit")) != 0).drop("_cell", "_bit", "_bits")
-
-
 def boxed(df: DataFrame, **extra: Column) -> DataFrame:
     """df's columns in the struct `_row`, and extra columns beside it: names can't clash with those of the input."""
     row = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row")

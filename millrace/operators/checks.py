@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.staging import staged
 from .similarity import first_duplicate, greedy_duplicates
 
 #: What every chat text must hold, and the length of a token and of a sequence.
@@ -75,11 +76,11 @@ def accept(batch: DataFrame, have: DataFrame, quotas: DataFrame, known: DataFram
 
     have: topic, n accepted before; quotas: topic, quota (a topic without one has no limit). The quota counts accepted
     rows only, so it is applied last, to rows that passed everything else."""
-    old = first_duplicate(batch.select("id", "tokens"), known.select("id", "tokens"), num, den).select("id", F.lit(True).alias("_old"))
+    old = staged(first_duplicate(batch.select("id", "tokens"), known.select("id", "tokens"), num, den), "old").select("id", F.lit(True).alias("_old"))
     rows = batch.join(old, "id", "left")
     cheap = F.when(F.size("reasons") > 0, "rejected").when(F.coalesce("_old", F.lit(False)), "duplicate").when(F.coalesce("advises", F.lit(False)), "advice")
     rows = rows.withColumn("_state", cheap)
-    gone = greedy_duplicates(rows.filter(F.col("_state").isNull()).select("topic", "id", "tokens"), num, den)
+    gone = staged(greedy_duplicates(rows.filter(F.col("_state").isNull()).select("topic", "id", "tokens"), num, den), "gone")
     rows = rows.join(gone.withColumn("_gone", F.lit(True)), "id", "left").withColumn("_state", F.coalesce("_state", F.when(F.coalesce("_gone", F.lit(False)), "duplicate")))
     room = rows.filter(F.col("_state").isNull()).withColumn("_rank", F.row_number().over(Window.partitionBy("topic").orderBy("id"))).select("id", "_rank")
     limits = quotas.select("topic", "quota").join(have.select("topic", "n"), "topic", "left").select("topic", (F.col("quota") - F.coalesce("n", F.lit(0))).alias("_room"))

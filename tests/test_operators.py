@@ -149,3 +149,35 @@ def test_dataset_report_blocks_on_near_duplicates(spark, monkeypatch):
         monkeypatch.setattr(queries, "_pairs_table", lambda *_: spark.createDataFrame(rows, "id long, user string, reply string, topic string"))
         verdicts.append(queries.dataset_report(spark, "").first()["verdict"])
     assert verdicts == ["ok_to_train", "needs_review"]
+
+
+def test_joins_of_large_sets_and_copies_against_brute_force(spark):
+    import random
+
+    rng = random.Random(7)
+    words = [f"w{i}" for i in range(400)]
+    rows = []
+    for i in range(40):
+        base = rng.sample(words, rng.choice([1, 2, 5, 30, 150]))
+        for _ in range(rng.randint(1, 4)):  # copies in another order, or a few tokens other
+            keep = [w for w in base if rng.random() > rng.choice([0, 0.05, 0.15])]
+            rows.append((3 * len(rows), rng.sample(keep, len(keep))))
+    pairs = {tuple(r) for r in similarity.jaccard_pairs(sets(spark, rows)).collect()}
+    assert pairs == brute(rows) and len(pairs) > 20
+    best = {}
+    for a, b, i, u in pairs:
+        best[a] = max(best.get(a, (0, 0)), (i / u, -b))
+    assert {r["id"]: (r["score"], -r["match"]) for r in similarity.worst_match(sets(spark, rows)).collect()} == best
+    new, old = rows[::2], rows[1::2]
+    first = {}
+    for a, b, *_ in pairs:
+        for n, o in ((a, b), (b, a)):
+            if any(n == r[0] for r in new) and any(o == r[0] for r in old):
+                first[n] = min(first.get(n, o), o)
+    assert {r["id"]: r["match"] for r in similarity.first_duplicate(sets(spark, new), sets(spark, old)).collect()} == first
+
+
+def test_copies_are_not_paired(spark):
+    copies = spark.range(20_000).select("id", F.lit("t").alias("topic"), F.array(F.lit("x"), F.lit("y")).alias("tokens"))
+    assert similarity.greedy_duplicates(copies).count() == 19_999
+    assert similarity.worst_match(copies).filter("match = 0 and score = 1").count() == 19_999
