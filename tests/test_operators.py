@@ -181,3 +181,10 @@ def test_copies_are_not_paired(spark):
     copies = spark.range(20_000).select("id", F.lit("t").alias("topic"), F.array(F.lit("x"), F.lit("y")).alias("tokens"))
     assert similarity.greedy_duplicates(copies).count() == 19_999
     assert similarity.worst_match(copies).filter("match = 0 and score = 1").count() == 19_999
+
+
+def test_greedy_keep_streams_its_groups(spark):
+    rows = spark.createDataFrame([("g", 1, ["a", "b"], True), ("g", 2, ["b", "a"], True), (None, 1, ["a", "b"], True), (None, 2, [], True), (None, 3, None, None)], "grp string, id long, tokens array<string>, passes boolean")
+    out = similarity.greedy_keep(rows)
+    assert "FlatMapGroups" not in out._jdf.queryExecution().toString()
+    assert {(r["grp"], r["id"]): r["kept"] for r in out.collect()} == {("g", 1): True, ("g", 2): False, (None, 1): True, (None, 2): True, (None, 3): False}
