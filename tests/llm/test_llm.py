@@ -524,6 +524,39 @@ def test_lines_against_brute_force(spark, sf):
     assert len(pairs) >= 10 and found >= 0.9 * len(pairs)
 
 
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_every_pair_of_like_lines_is_linked(spark, monkeypatch):
+    """Lines with letters changed in all words share no key; chunks of a few lines meet all others."""
+    rng = np.random.default_rng(17)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyzäñ"))
+    lines = []
+    for i in range(14):
+        line = list(" ".join("".join(rng.choice(letters, 6)) for _ in range(rng.integers(4, 10))))
+        new = list(line)
+        for at in range(int(rng.integers(0, 6)), len(line), 6 if i % 2 else 5):  # in each word a letter is lost, replaced or put in
+            new[at] = ["", str(rng.choice(letters)), line[at] + str(rng.choice(letters))][int(rng.integers(3))] if line[at] != " " else " "
+        lines += ["".join(line), "".join(new)]
+    lines = [" ".join(x.split()) for x in lines]
+    up = list(range(len(lines)))
+    for j, y in enumerate(lines):
+        for i, x in enumerate(lines[:j]):
+            if edit_distance(x, y) <= 0.2 * max(len(x), len(y)) + 1e-9:
+                up = [up[i] if r == up[j] else r for r in up]
+    smallest = {r: min(i for i, q in enumerate(up) if q == r) for r in up}
+    wanted = {i for i, r in enumerate(up) if i != smallest[r]}
+    monkeypatch.setattr(line_dedup, "CHUNK", 500)
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    assert {r["doc_id"] for r in line_dedup.dedup_report(docs).collect() if r["dropped"]} == wanted and len(wanted) >= 7
+
+
 def test_unspaced_lines(spark):
     rng = np.random.default_rng(6)
     line = "".join(chr(0x4E00 + int(x)) for x in rng.integers(0, 3000, 120))
