@@ -68,6 +68,13 @@ def released_group(run: Callable) -> Callable:
     return through
 
 
+def shrink_heaps(spark: SparkSession) -> None:
+    """Collects garbage in every executor: a heap keeps the size that the last stage's garbage gave it, beside which the
+    Python workers of the next one have no room. After a full collection the JVM gives back what it doesn't hold."""
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.expr("reflect('java.lang.System', 'gc')").alias("done")).write.format("noop").mode("overwrite").save()
+
+
 def boxed(df: DataFrame, **extra: Column) -> DataFrame:
     """df's columns in the struct `_row`, and extra columns beside it: names can't clash with those of the input."""
     row = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row")

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, key_filter, passing, released, released_group, small_batches, staged, without
+from .common import discard, key_filter, passing, released, released_group, shrink_heaps, small_batches, staged, without
 from .components import components
 from .exchange import BITS, owners_of, repeated, with_replies
 from .packing import chunks, raw_texts
@@ -359,6 +359,7 @@ def _join_documents(docs: DataFrame, width: int, percent: int, block_rows: int)
         table.filter("n > 0").groupBy("d1", "d2", "n").agg(F.min("uid").alias("node"), F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "th")).alias("first")),
         "classes",
     )
+    shrink_heaps(spark)
     # classes that share a shingle of their prefixes, by way of the shingle's smallest class
     run, schema = _prefixes(width, percent, spark.sparkContext.broadcast(levels))
     blocks = staged(source.select("text").mapInArrow(released(run), schema), "prefixes")
@@ -387,6 +388,7 @@ def _join_documents(docs: DataFrame, width: int, percent: int, block_rows: int)
     bands = bands.join(near_by, ["comp", "band"], "left").join(below, ["comp", "band"], "left").na.fill(0, ["up", "down"])
     found = found.join(bands, ["comp", "band"], "left").drop("n")
     found = staged(found, "wanted")
+    shrink_heaps(spark)
     # texts of candidates only, by a pre-filter of bounded size and then exactly
     scan = passing(source, key_filter(found, "th"), F.col("th"))
     wanted = scan.withColumnRenamed("doc_id", "_id").join(found, "th").filter(F.col("_id").eqNullSafe(F.col("doc_id"))).select("node", "comp", "copies", "large", "band", "blocks", "up", "down", "text")

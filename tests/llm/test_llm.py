@@ -524,6 +524,15 @@ def test_lines_against_brute_force(spark, sf):
     assert len(pairs) >= 10 and found >= 0.9 * len(pairs)
 
 
+def test_heaps_shrink(spark):
+    """Tasks make the JVM that runs them collect all garbage; here it is the driver's own."""
+    jvm = spark._jvm
+    beans = lambda: sum(b.getCollectionCount() for b in jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans() if "Old" in b.getName() or "Mark" in b.getName())
+    before = beans()
+    common.shrink_heaps(spark)
+    assert beans() > before
+
+
 def edit_distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
