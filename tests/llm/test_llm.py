@@ -244,6 +244,43 @@ def test_lm_gradients():
         assert g[name][at] == pytest.approx((up - down) / 2e-5, rel=1e-3, abs=1e-8), name
 
 
+def test_lm_updates_are_single_precision_adam():
+    k = gru_lm.Tokens([b"a b c a b"])
+    counts = np.bincount(k.index, minlength=len(k.hashes))
+    v = gru_lm.Vocabulary(k.hashes, counts, k.tails, int(counts.sum()), len(counts), np.bincount(k.tails, counts + 1, gru_lm.TAILS))
+    trainer, rng = gru_lm.Trainer(gru_lm.start_weights(v), gru_lm.Head(v)), np.random.default_rng(1)
+    plain = {n: x.astype(float) for n, x in trainer.w.items()}
+    first, second = ({n: np.zeros_like(x) for n, x in plain.items()} for _ in range(2))
+    for i in range(1, 6):
+        g = {n: rng.normal(0, 0.01, x.shape).astype(np.float32) for n, x in plain.items()}
+        trainer._update(g)
+        norm = max(1.0, sum(float((x.astype(float) ** 2).sum()) for x in g.values()) ** 0.5)
+        for n, x in g.items():
+            first[n] = 0.9 * first[n] + 0.1 * x / norm
+            second[n] = 0.99 * second[n] + 0.01 * (x / norm) ** 2
+            plain[n] -= gru_lm.RATE * first[n] / (1 - 0.9**i) / (np.sqrt(second[n] / (1 - 0.99**i)) + 1e-7)
+    assert all(trainer.w[n] == pytest.approx(plain[n], abs=1e-5) for n in plain)
+    assert {x.dtype for held in (trainer.first, trainer.second) for x in (held.values() if isinstance(held, dict) else [held])} == {np.dtype("f4")}
+
+
+def test_lm_steps_by_gates_equal_plain_steps(monkeypatch):
+    monkeypatch.setattr(gru_lm, "STATES", 7)  # blocks end inside texts
+    texts = [b"a b c A b " * 9, b"", b"c a b", b"zz"]
+    k = gru_lm.Tokens(texts)
+    counts = np.bincount(k.index, minlength=len(k.hashes))
+    v = gru_lm.Vocabulary(k.hashes, counts, k.tails, int(counts.sum()), len(counts), np.bincount(k.tails, counts + 1, gru_lm.TAILS))
+    w = {n: x.astype(float) for n, x in gru_lm.start_weights(v).items()}
+    got, _ = gru_lm.log_probabilities(k, v, w)
+    _, rank, cls = v.look_up(k)
+    assert (rank >= 0).all()  # so that no share is to be added
+    for i, (a, b) in enumerate(zip(k.bounds[:-1], k.bounds[1:])):
+        h, total, last = np.zeros((1, gru_lm.HIDDEN)), 0.0, gru_lm.FIRST
+        for j in k.index[a:b]:
+            h = gru_lm._step(w["vectors"][[last]] @ w["in"] + w["in_bias"], h, w)[0]
+            total, last = total + gru_lm._outputs(h, cls[[j]], rank[[j]], w)[0], rank[j]
+        assert got[i] == pytest.approx(total)
+
+
 def test_language_accuracy(spark, sf):
     got = language_id.identify(documents(spark, sf)).join(documents(spark, sf).select("doc_id", "lang"), "doc_id").collect()
     held = [r for r in got if r["held_out"]]
