@@ -75,7 +75,7 @@ class Tokens:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for t in chunks(batches):
+    for t in chunks(batches, size=8 << 20):  # a word comes once a chunk
         k = Tokens(raw_texts(t))
         n = np.bincount(k.index, minlength=len(k.hashes))
         yield pa.RecordBatch.from_pydict({"h": pa.array(k.hashes.view(np.int64)), "tail": pa.array(k.tails.astype(np.int32)), "n": pa.array(n.astype(np.int64))})
@@ -167,8 +167,7 @@ def _gated(g: np.ndarray, h: np.ndarray, state: np.ndarray, u: np.ndarray, zr: n
 
 def _softmax(x: np.ndarray, scale: float | np.ndarray) -> np.ndarray:
     """scale (of all rows or of each) times the softmax of the rows of x, in its place."""
-    top = np.abs(x).max(initial=0)
-    if not top < 80:  # only where exp might leave its range
+    if not (x.max(initial=0) < 80 and x.min(initial=0) > -80):  # only where exp might leave its range
         x -= x.max(axis=1, keepdims=True)
     np.exp(x, out=x)
     x *= scale / (x @ np.ones((x.shape[1], 1), x.dtype))
@@ -303,17 +302,17 @@ class Trainer:
         self.n += 1
         x = np.concatenate([g[k].reshape(-1) for k in sorted(g)])
         x *= 1 / max(1.0, float(x @ x) ** 0.5)  # plain floats: numpy's own would make all of this double
+        # the moments are kept 10 and 100 times as large, which saves passes
         self.first *= 0.9
-        self.first += 0.1 * x
+        self.first += x
         self.second *= 0.99
         x *= x
-        x *= 0.01
         self.second += x
+        scale = (0.01 / (1 - 0.99**self.n)) ** 0.5
         by = np.sqrt(self.second, out=x)
-        by *= (1 - 0.99**self.n) ** -0.5
-        by += 1e-7
+        by += 1e-7 / scale
         np.divide(self.first, by, out=by)
-        by *= RATE / (1 - 0.9**self.n)
+        by *= RATE * 0.1 / (1 - 0.9**self.n) / scale
         self.flat -= by
 
 

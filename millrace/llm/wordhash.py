@@ -8,6 +8,7 @@ import numpy as np
 
 SLICE = 1 << 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(int(_ODD), -1, 1 << 64))
 
 
 def _random_table(seed: int) -> np.ndarray:
@@ -37,10 +38,23 @@ def joined(texts: Sequence[str | bytes | None]) -> tuple[np.ndarray, np.ndarray]
     return np.frombuffer(b" ".join(raw) + b" ", np.uint8) if raw else np.zeros(0, np.uint8), offsets
 
 
+def _powers(base: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers from 0 on below n, modulo 2^64, as products: the i-th is high[i // 1024] * low[i % 1024]."""
+    low = np.full(1025, base, np.uint64)
+    low[0] = 1
+    np.multiply.accumulate(low, out=low)
+    high = np.full(n // 1024 + 1, low[1024], np.uint64)
+    high[0] = 1
+    np.multiply.accumulate(high, out=high)
+    return low[:1024], high
+
+
 def _slice_words(buf: np.ndarray, table: np.ndarray, kinds: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     inside = ~SPACES[buf]
-    edge = np.diff(inside.view(np.int8), prepend=np.int8(0), append=np.int8(0))
-    first, last = edge == 1, edge == -1
+    first, last = np.empty(len(buf) + 1, bool), np.empty(len(buf) + 1, bool)
+    first[0], first[-1], last[0], last[-1] = inside[0], False, False, inside[-1]
+    np.greater(inside[1:], inside[:-1], out=first[1:-1])
+    np.less(inside[1:], inside[:-1], out=last[1:-1])
     if kinds is not None:  # a word also ends between bytes of kinds 1 and 2
         kind = kinds[buf]
         cut = kind[1:] + kind[:-1] == 3
@@ -49,14 +63,15 @@ def _slice_words(buf: np.ndarray, table: np.ndarray, kinds: np.ndarray | None) -
     starts, ends = np.flatnonzero(first), np.flatnonzero(last)
     if not len(starts):
         return starts, ends, np.zeros(0, np.uint64)
-    longest = int((ends - starts).max())
-    gaps = np.diff(np.append(starts, len(buf)))
-    at = np.arange(starts[0], len(buf)) - np.repeat(starts, gaps)
-    np.minimum(at, longest - 1, out=at)  # spaces after a word hash to 0 anyway
-    power = np.full(longest, _ODD, np.uint64)
-    power[0] = 1
-    np.multiply.accumulate(power, out=power)
-    h = np.add.reduceat(table[buf[starts[0] :]] * power[at], starts - starts[0])
+    # powers count from the slice's first word; each word's sum is then divided by the power at its start
+    at = starts - starts[0]
+    terms = table[buf[starts[0] :]]  # spaces are 0
+    low, high = _powers(_ODD, len(terms))
+    whole = len(terms) // len(low) * len(low)
+    terms[:whole].reshape(-1, len(low))[:] *= high[: whole // len(low), None] * low
+    terms[whole:] *= high[whole // len(low)] * low[: len(terms) - whole]
+    low, high = _powers(_INVERSE, len(terms))
+    h = np.add.reduceat(terms, at) * low[at % len(low)] * high[at // len(low)]
     return starts, ends, mix(h + (ends - starts).astype(np.uint64) * _ODD)
 
 

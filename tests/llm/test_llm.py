@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.llm import common, exchange, gru_lm, language_id, license_scan, line_dedup, media_columns, mixing, ngram_jaccard, packing, quality
+from millrace.llm import common, exchange, gru_lm, language_id, license_scan, line_dedup, media_columns, mixing, ngram_jaccard, packing, quality, wordhash
 from millrace.llm.components import components
 from millrace.llm.exact_dedup import drop_duplicates, exact_duplicates
 from millrace.llm.queries import ORACLE, QUERIES
@@ -244,6 +244,16 @@ def test_lm_gradients():
         assert g[name][at] == pytest.approx((up - down) / 2e-5, rel=1e-3, abs=1e-8), name
 
 
+def test_word_hashes_equal_plain_ones():
+    odd, whole = int(wordhash._ODD), (1 << 64) - 1
+    raw = b"  a " + b"b" * 1021 + b" c\tD " + b"xy" * 3000 + b" A"
+    starts, ends, hashes = wordhash.words(np.frombuffer(raw, np.uint8))
+    assert [raw[a:b] for a, b in zip(starts, ends)] == raw.split()
+    for word, got in zip(raw.split(), hashes.tolist()):
+        total = sum(int(wordhash.LOWER[c]) * pow(odd, i, whole + 1) for i, c in enumerate(word)) + len(word) * odd
+        assert got == int(wordhash.mix(np.array([total & whole], np.uint64))[0])
+
+
 def test_lm_updates_are_single_precision_adam():
     k = gru_lm.Tokens([b"a b c a b"])
     counts = np.bincount(k.index, minlength=len(k.hashes))
