@@ -613,6 +613,64 @@ def test_every_pair_of_like_lines_is_linked(spark, monkeypatch):
     assert {r["doc_id"] for r in line_dedup.dedup_report(docs).collect() if r["dropped"]} == wanted and len(wanted) >= 7
 
 
+def test_bounds_before_the_edit_distance_lose_no_link(spark):
+    """Packed counts and missing pieces never exceed an edit distance that counts, whatever the lengths, shifts and scripts; both tell most others apart."""
+    rng = np.random.default_rng(23)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz0123456789 ") + ["é", "字", "語", "𝒳", "𐍈"])
+    pairs = []
+    for i in range(300):
+        x = list(rng.choice(letters[:37] if i % 3 else letters, rng.integers(20, 160)))
+        y, room = list(x), int(0.2 * len(x))
+        if i % 4 == 0:  # a block is put in or lost, so that all behind it is shifted
+            at = int(rng.integers(0, len(x)))
+            y[at : at + room // 2] = [] if i % 8 else list(rng.choice(letters, room))
+        elif i % 4 < 3:
+            for at in sorted(rng.choice(len(x), room, replace=False))[::-1]:
+                y[at : at + 1] = [[], [str(rng.choice(letters))], [x[at], str(rng.choice(letters))]][int(rng.integers(3))]
+        else:
+            y = list(rng.choice(letters[:37], len(x)))
+        pairs.append(("".join(x), "".join(y)) if len(x) <= len(y) else ("".join(y), "".join(x)))
+    size, x, y = line_dedup._piece_size(0.8), F.col("x"), F.col("y")
+    most = line_dedup._most("m", "n", 0.8)
+    df = spark.createDataFrame(pairs, "x string, y string").withColumn("m", F.length("x")).withColumn("n", F.length("y")).withColumn("most", most)
+    df = df.withColumn("wide", line_dedup._wide(x)).withColumn("tiles", line_dedup._tiles(y, size))
+    before, behind = line_dedup._reach(F.col("m"), F.col("n"), F.col("most"))
+    missing = line_dedup._missing(F.col("wide"), F.col("tiles"), before, behind, size)
+    free = [c.bitwiseOR(F.lit(line_dedup.FREE)) for c in line_dedup._counts(y, F.col("n"))]
+    more = line_dedup._more(free, line_dedup._counts(x, F.col("m")))
+    kinds = {c: i for i, k in enumerate(line_dedup.COUNTED) for c in k}
+    of = lambda text: np.bincount([kinds.get(c, len(line_dedup.COUNTED)) for c in text], minlength=len(line_dedup.COUNTED) + 1)
+    linked = apart = told = 0
+    for r in df.select("x", "y", "most", missing.alias("missing"), more.alias("more")).collect():
+        assert r["more"] == np.maximum(of(r["y"]) - of(r["x"]), 0).sum()
+        if edit_distance(r["x"], r["y"]) <= r["most"]:
+            linked += 1
+            assert r["more"] <= r["most"] and r["missing"] <= r["most"]
+        else:
+            apart, told = apart + 1, told + (r["missing"] > r["most"])
+    assert linked >= 150 and apart >= 70 and told >= 0.9 * apart
+
+
+def test_the_join_of_lines_is_compiled(spark, monkeypatch):
+    """The JVM compiles no method of more than 8,000 bytes; all pairs of lines of like lengths go through this one."""
+    words = [" ".join(f"{a}{i * 37 % 101}word" for a in "abcdef") for i in range(40)]
+    lines = line_dedup.staged(line_dedup._distinct(spark.createDataFrame(list(enumerate(words)), "doc_id long, text string")))
+    plans, told = [], line_dedup._told(lines, spark.createDataFrame([], "node long, root long"), 0.8)
+    monkeypatch.setattr(line_dedup, "_told", lambda *_: told)
+    frame, write = type(told), type(told).write
+    monkeypatch.setattr(frame, "write", property(lambda df: plans.append(df) or write.fget(df)))
+    monkeypatch.setattr(line_dedup, "discard", lambda *_: None)
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        line_dedup._other_links(lines, None, 0.8)
+        said = spark._jvm.PythonSQLUtils.explainString(plans[-1]._jdf.queryExecution(), "codegen")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", said)]
+    assert "BroadcastHashJoin" in said and sizes and max(sizes) <= 8000
+
+
 def test_unspaced_lines(spark):
     rng = np.random.default_rng(6)
     line = "".join(chr(0x4E00 + int(x)) for x in rng.integers(0, 3000, 120))
