@@ -633,9 +633,9 @@ def test_bounds_before_the_edit_distance_lose_no_link(spark):
     size, x, y = line_dedup._piece_size(0.8), F.col("x"), F.col("y")
     most = line_dedup._most("m", "n", 0.8)
     df = spark.createDataFrame(pairs, "x string, y string").withColumn("m", F.length("x")).withColumn("n", F.length("y")).withColumn("most", most)
-    df = df.withColumn("wide", line_dedup._wide(x)).withColumn("tiles", line_dedup._tiles(y, size))
-    before, behind = line_dedup._reach(F.col("m"), F.col("n"), F.col("most"))
-    missing = line_dedup._missing(F.col("wide"), F.col("tiles"), before, behind, size)
+    df = df.withColumn("wide", line_dedup._wide(x, F.col("m"), 0.8)).withColumn("tiles", line_dedup._tiles(y, size, 0.8))
+    first, width = line_dedup._window(F.col("m"), F.col("n"), F.col("most"), 0.8, size)
+    missing = line_dedup._missing(F.col("wide"), F.col("tiles"), first, width, size)
     free = [c.bitwiseOR(F.lit(line_dedup.FREE)) for c in line_dedup._counts(y, F.col("n"))]
     more = line_dedup._more(free, line_dedup._counts(x, F.col("m")))
     kinds = {c: i for i, k in enumerate(line_dedup.COUNTED) for c in k}
