@@ -177,6 +177,22 @@ def test_joins_of_large_sets_and_copies_against_brute_force(spark):
     assert {r["id"]: r["match"] for r in similarity.first_duplicate(sets(spark, new), sets(spark, old)).collect()} == first
 
 
+def test_rows_without_id_and_low_thresholds_leave_no_pair_out(spark):
+    def set_of(first, n):
+        return [f"t{i}" for i in range(first, first + n)]
+
+    rows = [(None, set_of(0, 8)), (1, set_of(0, 8)), (2, set_of(0, 8)), (3, set_of(0, 7)), (None, set_of(0, 7)), (4, set_of(20, 5)), (None, set_of(20, 5)), (5, set_of(20, 6)), (None, None), (6, None)]
+    known = [r for r in rows if r[0] is not None and r[1]]
+    assert {tuple(r) for r in similarity.jaccard_pairs(sets(spark, rows)).collect()} == brute(known)
+    assert {(r["id"], r["match"]) for r in similarity.worst_match(sets(spark, rows)).collect()} == {(2, 1), (3, 1), (5, 4)}
+    assert {(r["id"], r["match"]) for r in similarity.first_duplicate(sets(spark, rows[3:]), sets(spark, rows[:3])).collect()} == {(3, 1)}
+    topics = sets(spark, rows).withColumn("topic", F.lit("t"))
+    assert {r["id"] for r in similarity.greedy_duplicates(topics).collect()} == {2, 3, 5}
+    few = [(1, set_of(0, 100)), (2, set_of(95, 100))]  # five of 195
+    assert {tuple(r) for r in similarity.jaccard_pairs(sets(spark, few), 1, 50).collect()} == brute(few, 1, 50) == {(2, 1, 5, 195)}
+    assert similarity.worst_match(sets(spark, few), 1, 50).first()["match"] == 1
+
+
 def test_copies_are_not_paired(spark):
     copies = spark.range(20_000).select("id", F.lit("t").alias("topic"), F.array(F.lit("x"), F.lit("y")).alias("tokens"))
     assert similarity.greedy_duplicates(copies).count() == 19_999
